@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from ..session import spread
-from . import normalize, pii
+from ..session import materialise, spread
+from . import mixing, normalize, packing, pii, stuffing, tokens
 
 
 def element_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -51,5 +51,48 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return t.where("redacted <> text").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_canonical_texts, p5_found, p5_redacted)}
+def _sizes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """(doc_id, ..., tokens) of all documents, written once: texts are counted once."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", *columns))
+    return materialise(docs.select("doc_id", *columns, tokens.token_count(F.col("text")).alias("tokens")), "token-sizes")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that packing had to split for the containers of ``wide``."""
+    wide = table(spark, d, "pack_sizes").where("pack_id = 'wide'")
+    return packing.pack(_sizes(spark, d), wide).where("piece > 0").select("doc_id").distinct()
+
+
+def p6_places(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    packs = table(spark, d, "pack_sizes")
+    return packing.fill_report(packing.pack(_sizes(spark, d), packs), packs)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.choose(_sizes(spark, d, "source"), table(spark, d, "mix_targets")).where("NOT reachable").select("source").distinct()
+
+
+def p7_uses(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _sizes(spark, d, "source")
+    return mixing.uses(sizes, materialise(mixing.choose(sizes, table(spark, d, "mix_targets")), "mix-choice"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.choose(_sizes(spark, d, "source"), targets), targets)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_pages(spark, d).where("stuffed").select("doc_id")
+
+
+def p8_pages(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(spread(table(spark, d, "documents").select("doc_id", "text", "lang")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_canonical_texts, p5_found, p5_redacted, p6_found, p6_places, p6_fill, p7_found, p7_uses, p7_shares, p8_found, p8_pages)}
 SQL: dict[str, str] = {}
