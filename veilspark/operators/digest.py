@@ -116,7 +116,7 @@ def digest_elements(elements: DataFrame, pages: DataFrame, cap: int = 150) -> Da
     e = e.withColumn("class", E.classify(attribute, F.col("haystack")))
     shown_value = F.when(F.col("class").isNull() & F.length("value").between(1, 99), F.col("value"))
     # one lambda for all three texts: the scanner's expressions are planned once
-    e = e.withColumn("_s", F.transform(F.array(F.col("haystack"), E.trim_all(F.col("text")), shown_value), scrub_text))
+    e = e.withColumn("_s", F.transform(F.array(F.col("haystack"), E.trim_all(F.col("text")), shown_value), lambda t: scrub_text(t)))
     value = F.when(F.col("class").isNotNull(), F.lit("[REDACTED:FIELD]")).otherwise(F.col("_s")[2]["text"])
     found = F.flatten(F.transform("_s", lambda x: F.coalesce(x["redactions"]["kind"], F.array().cast("array<string>"))))
     kinds = F.concat(found, F.when(F.col("class").isNotNull(), F.array(F.lit("field"))).otherwise(F.array().cast("array<string>")))
