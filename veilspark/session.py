@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
-    """A local session with the settings the library is tested under."""
+def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "8g", **config: str) -> SparkSession:
+    """A local session with the settings the library is tested under; ``config`` names further ones with ``__`` for dots."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("veilspark")
@@ -20,6 +20,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map={k.replace("__", "."): v for k, v in config.items()})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
