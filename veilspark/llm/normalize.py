@@ -91,14 +91,18 @@ _UNSTABLE = re.compile(r"[\x20-\x7e]?[^\x00-\x7e]+")  # with the starter before
 
 
 @lru_cache(maxsize=65536)
-def _segment(segment: str, latin: bool) -> str:
+def _short_segment(segment: str, latin: bool) -> str:
+    return _long_segment(segment, latin)
+
+
+def _long_segment(segment: str, latin: bool) -> str:
     if all(quick_check(c) == "yes" for c in segment):
         return segment
     return unicodedata.normalize("NFC", "".join(map(_latin if latin else plain_form, segment)))
 
 
 def _splice(text: str, latin: bool) -> str:
-    return text if text.isascii() else _UNSTABLE.sub(lambda m: _segment(m[0], latin), text)
+    return text if text.isascii() else _UNSTABLE.sub(lambda m: (_short_segment if m.end() - m.start() <= 64 else _long_segment)(m[0], latin), text)
 
 
 def skeleton(text: str | None) -> str | None:
@@ -183,6 +187,7 @@ def skeleton_text(text: Column) -> Column:
 
 def lookalikes(texts: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``texts`` that look like a text of ``known(string_id, text)`` but are made of other characters."""
-    k = known.where("text IS NOT NULL").select("string_id", F.col("text").alias("_known"), skeleton_text(F.col("text")).alias("_key"))
-    t = texts.where(F.length(text) > 0).withColumn("_key", skeleton_text(F.col(text)))
-    return t.join(k, "_key").where(F.col(text) != F.col("_known")).drop("_key", "_known")
+    k = known.where("text IS NOT NULL").select("string_id", F.col("text").alias("known_text"), skeleton_text(F.col("text")).alias("key"))
+    t = texts.where(F.length(text) > 0).select(F.struct(*texts.columns).alias("row"), F.col(text).alias("own_text"), skeleton_text(F.col(text)).alias("key"))
+    kept = [F.col("row")[c].alias(c) for c in texts.columns if c.lower() != "string_id"]
+    return t.join(k, "key").where("own_text <> known_text").select(*kept, "string_id")

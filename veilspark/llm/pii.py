@@ -36,17 +36,18 @@ LABELS = ("O", "EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 TRAINING_TEXTS = 9000
 MENTIONS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 
-_LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
+# Every branch is linear in the text: runs are taken whole (possessively) or bounded by what a mail address allows.
+_LABEL = r"[^\W_](?:[\w-]{0,61}[^\W_])?"
 _TOKEN = re.compile(
-    rf"(?P<email>[^\W_][\w.%+-]*(?:@|\s?[\[(]\s?at\s?[\])]\s?){_LABEL}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?){_LABEL})+)"
-    r"|(?P<handle>@\w+)"
-    r"|(?P<amount>\d{1,3}(?:,\d{2,3})+(?:\.\d+)?(?!\d))"
-    r"|(?P<code>[A-Za-z]{1,8}\d{0,4}(?:-[A-Z]*\d+)+(?![\w-]))"
-    r"|(?P<mixed>\w*[^\W\d_]\w*\d\w*|\d+[^\W\d_]\w*)"
-    r"|(?P<number>\+?\(?\d+\)?(?:[ .-]{0,2}\(?\d+\)?(?![^\W\d_]))*)"
+    rf"(?P<email>(?<![^\W_])[^\W_][\w.%+-]{{0,63}}+(?:@|\s?[\[(]\s?at\s?[\])]\s?){_LABEL}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?){_LABEL})+)"
+    r"|(?P<handle>@\w++)"
+    r"|(?P<amount>\d{1,3}(?:,\d{2,3})++(?:\.\d+)?(?!\d))"
+    r"|(?P<code>[A-Za-z]{1,8}\d{0,4}(?:-[A-Z]{0,8}\d++)++(?![\w-]))"
+    r"|(?P<mixed>(?>[^\W\d_]+)\d\w*+|\d++[^\W\d_]\w*+)"
+    r"|(?P<number>\+?\(?\d++\)?(?:(?:[ .-]{1,2}\(?|\(|(?<=\)))\d++\)?(?![^\W\d_]))*+)"
     r"|(?P<initial>[^\W\d_]\.)"
     r"|(?P<abbreviation>[A-Z][^\W\d_]{1,3}\.(?=\s?[,\w]))"
-    r"|(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+)*)"
+    r"|(?P<word>[^\W\d_]++(?:['’-][^\W\d_]++)*+)"
     r"|(?P<other>\S)"
 )
 _TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "shri", "smt", "sri", "herr", "frau", "señor", "señora", "sr", "sra", "don", "doña"}
