@@ -121,10 +121,10 @@ class SkipChainCRF:
                 cavity = belief[i] / np.maximum(to[j, i], 1e-12)
                 m = cavity @ pair
                 new[i, j] = 0.5 * to[i, j] + 0.5 * m / m.mean()
-            if max(np.abs(new[k] - to[k]).max() for k in to) < 1e-3:
-                to = new
-                break
+            change = max((np.abs(new[k] - to[k]).max() for k in to), default=0.0)
             to = new
+            if change < 1e-3:
+                break
         return belief
 
     def label(self, texts: Sequence[Sequence[str]], links: Sequence[Sequence[tuple[int, int]]]) -> list[np.ndarray]:
