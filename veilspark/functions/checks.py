@@ -19,16 +19,16 @@ def verhoeff_ok(digits: str) -> bool:
     return c == 0
 
 
-def verhoeff_valid(digits: Column, length: int = 12) -> Column:
-    """Whether a column of digits has ``length`` digits and a valid Verhoeff check digit."""
-    d, p = F.lit("".join(_D)), F.lit("".join(_P))
+def verhoeff_sql(digits: str, length: int = 12) -> str:
+    """SQL test of ``digits``, an expression of exactly ``length`` digits."""
+    permuted = f"CAST(substr('{''.join(_P)}', (i % 8) * 10 + CAST(substr({digits}, {length} - i, 1) AS INT) + 1, 1) AS INT)"
+    return f"aggregate(sequence(0, {length - 1}), 0, (c, i) -> CAST(substr('{''.join(_D)}', c * 10 + {permuted} + 1, 1) AS INT)) = 0"
 
-    def step(c: Column, i: Column) -> Column:
-        digit = F.substring(digits, F.lit(length) - i, F.lit(1)).cast("int")
-        permuted = F.substring(p, (i % 8) * 10 + digit + 1, F.lit(1)).cast("int")
-        return F.substring(d, c * 10 + permuted + 1, F.lit(1)).cast("int")
 
-    return F.coalesce(digits.rlike(rf"^[0-9]{{{length}}}$"), F.lit(False)) & (F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.lit(0), step) == 0)
+def verhoeff_valid(digits: Column, length: int = 12) -> Column:
+    """Whether a column of digits has ``length`` digits and a valid Verhoeff check digit."""
+    checked = F.call_function("transform", F.array(digits), F.expr(f"x -> IF(x RLIKE '^[0-9]{{{length}}}$', {verhoeff_sql('x', length)}, false)"))
+    return F.coalesce(F.get(checked, F.lit(0)), F.lit(False))
 
 
 def luhn_valid(digits: Column, least: int = 13, most: int = 19) -> Column:

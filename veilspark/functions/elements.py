@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import AUTOCOMPLETE_TOKENS, AUTOCOMPLETE_TOKENS_V1, INTERACTIVE_ROLES, INTERACTIVE_TAGS, NAME_PATTERN_V1, NAME_REGEX, jvm_regex
-from .text import let, scan_text
+from .text import let, literals, scan_text
 
 Attribute = Callable[[str], Column]
 _ATTRIBUTES = ("name", "id", "placeholder", "aria_label", "data_testid", "data_test")
@@ -45,7 +45,7 @@ def classify(of: Attribute, hay: Column) -> Column:
     """
     auto = F.lower(of("autocomplete"))
     words = F.split(auto, r"\s+")
-    token = F.get(F.filter(F.array(*map(F.lit, AUTOCOMPLETE_TOKENS)), lambda t: F.array_contains(words, t) | (t == auto)), F.lit(0))
+    token = F.get(F.filter(literals(AUTOCOMPLETE_TOKENS), lambda t: F.array_contains(words, t) | (t == auto)), F.lit(0))
     name = F.regexp_extract(hay, jvm_regex(NAME_REGEX, ignore_case=True), 0)
 
     def verdict(layer: str, confidence: Column, kind: Column, reason: Column) -> Column:
@@ -61,7 +61,7 @@ def classify(of: Attribute, hay: Column) -> Column:
 def classify_v1(of: Attribute) -> Column:
     """The earlier cascade: ``struct<sensitive,reason>``; tokens match anywhere within the attribute."""
     auto = F.lower(F.coalesce(of("autocomplete"), F.lit("")))
-    token = F.get(F.filter(F.array(*map(F.lit, AUTOCOMPLETE_TOKENS_V1)), lambda t: F.contains(auto, t)), F.lit(0))
+    token = F.get(F.filter(literals(AUTOCOMPLETE_TOKENS_V1), lambda t: F.contains(auto, t)), F.lit(0))
     hay = F.array_join(F.array_compact(F.array(*(filled(of(a)) for a in ("name", "id", "placeholder", "aria_label")))), " ")
     yes = lambda reason: F.struct(F.lit(True).alias("sensitive"), reason.alias("reason"))
     return F.coalesce(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import let, literals
 
 # Words that call for a click, and those that name no element.
 CLICK_WORDS = ("click", "press", "submit", "confirm", "authenticate", "login", "button")
@@ -64,7 +64,7 @@ def rank_action(task: Column, elements: Column) -> Column:
     elements = F.filter(F.coalesce(elements, F.array()), lambda e: e.isNotNull())
     words = keywords(low)
     scroll = F.when(F.contains(low, F.lit("scroll down")), _action("scroll", x=F.lit(0), y=F.lit(500), confidence=0.95)).when(F.contains(low, F.lit("scroll up")), _action("scroll", x=F.lit(0), y=F.lit(-500), confidence=0.95))
-    wants_click = F.exists(F.array(*map(F.lit, CLICK_WORDS)), lambda k: F.contains(low, k))
+    wants_click = F.exists(literals(CLICK_WORDS), lambda k: F.contains(low, k))
 
     def click_on(b: Column) -> Column:
         x, y = _centre(b["e"]["rect"])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import STAGES
+from ..functions.text import literals
 
 
 def round2(c: Column) -> Column:
@@ -81,7 +82,7 @@ def heap_summary(samples: DataFrame) -> DataFrame:
 
 def ordered_stages(frames: DataFrame) -> DataFrame:
     """Stages of the fixed vocabulary in their reporting order; others are left out."""
-    return frames.withColumn("stages", F.map_from_entries(F.filter(F.transform(F.array(*map(F.lit, STAGES)), lambda s: F.struct(s.alias("key"), F.try_element_at("stages", s).alias("value"))), lambda e: e["value"].isNotNull())))
+    return frames.withColumn("stages", F.map_from_entries(F.filter(F.transform(literals(STAGES), lambda s: F.struct(s.alias("key"), F.try_element_at("stages", s).alias("value"))), lambda e: e["value"].isNotNull())))
 
 
 def console_lines(frames: DataFrame) -> DataFrame:
