@@ -149,6 +149,8 @@ _NAMES = "{g} {f}|{g} {f}|{g} {f}|{g} {f}|{g} {i}. {f}|{i}. {f}|{f}, {g}|{t} {f}
 _SENTENCES = """{name}
 {full}
 {full}
+{full}
+{full}
 {email}
 {phone}
 {id}
