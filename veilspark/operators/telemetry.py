@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import STAGES
 from ..functions.text import literals
+from ..session import materialise
 
 
 def round2(c: Column) -> Column:
@@ -44,18 +45,27 @@ def with_unaccounted(frames: DataFrame) -> DataFrame:
     return frames.withColumn("unaccounted", F.greatest(F.lit(0.0), F.col("total") - spent))
 
 
-def _order(*columns: Column) -> Window:
-    return Window.partitionBy("session").orderBy(*columns)
-
-
 def numbered(frames: DataFrame) -> DataFrame:
-    """Frames with their ordinal within the session from 0."""
-    return frames.withColumn("ordinal", F.row_number().over(_order(F.col("ts"), F.col("total"))) - 1)
+    """Frames with their ordinal within the session from 0.
+
+    Sessions may be of any length, so they are not gathered in one task: frames
+    are range-partitioned in time order, ranked within their partition, and
+    moved up by what the session has in the partitions before.
+    """
+    key = ["session", "ts", "total"]
+    placed = materialise(frames.repartitionByRange(*key).withColumn("_p", F.spark_partition_id()), "ordinals")
+    counts = placed.groupBy("session", "_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("session").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("session", "_p").orderBy("ts", "total"))
+    offsets = counts.select(F.col("session").alias("_s"), F.col("_p").alias("_q"), before.alias("_b"))
+    same = F.col("session").eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))
+    ranked = placed.withColumn("_r", rank).join(offsets, same)
+    return ranked.withColumn("ordinal", F.col("_r") + F.col("_b") - 1).drop("_p", "_q", "_s", "_r", "_b")
 
 
 def ring_buffer(frames: DataFrame, size: int = 500) -> DataFrame:
     """The last ``size`` frames of each session; a window limit prunes before the shuffle."""
-    return frames.withColumn("_n", F.row_number().over(_order(F.col("ts").desc(), F.col("total").desc()))).where(F.col("_n") <= size).drop("_n")
+    return frames.withColumn("_n", F.row_number().over(Window.partitionBy("session").orderBy(F.col("ts").desc(), F.col("total").desc()))).where(F.col("_n") <= size).drop("_n")
 
 
 def steady_state(frames: DataFrame, warmup: int = 1) -> DataFrame:

@@ -42,10 +42,9 @@ def _history(size: int) -> Callable:
         rows = 0
         for b in batches:
             rows += len(b)
-            stamps += b["ts"].astype("int64").tolist()
-            values += b["ms"].tolist()
-        kept = sorted(zip(stamps, values))[-size:]
-        stamps, values = [s for s, _ in kept], [v for _, v in kept]
+            # cut after every piece of a batch, so that a session of any length stays small
+            kept = sorted([*zip(stamps, values), *zip(b["ts"].astype("int64").tolist(), b["ms"].tolist())])[-size:]
+            stamps, values = [s for s, _ in kept], [v for _, v in kept]
         state.update((stamps, values))
         p50, p95 = pd.Series(values).quantile([0.5, 0.95])
         yield pd.DataFrame({"session": [key[0]], "n": [len(values)], "p50": [p50], "p95": [p95], "last_ts": [pd.Timestamp(stamps[-1], unit="us")], "batch_rows": [rows]})
