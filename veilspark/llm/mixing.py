@@ -27,7 +27,7 @@ from ..session import materialise
 
 CHOICE = "source STRING, tokens BIGINT, docs BIGINT, passes INT, extra BIGINT, reachable BOOLEAN"
 DP_TOKENS = 60_000
-_RANGES = 1024
+_RANGES = 4096
 
 
 def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -94,11 +94,12 @@ def choose(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         share, most = (0 if pd.isna(x) else x for x in (rows["share"].iloc[0], rows["most"].iloc[0]))
+        total_tokens = float(rows["total"].iloc[0])
         rows = rows[rows["docs"].notna() & rows["tokens"].notna()].sort_values("tokens")
         lengths, counts = rows["tokens"].to_numpy(np.int64), rows["docs"].to_numpy(np.int64)
         own, most = int((lengths * counts).sum()), max(0, int(most))
-        wanted = max(0.0, float(share)) * (float(rows["total"].iloc[0]) if len(rows) else 0.0)
-        reachable = own * most >= wanted if len(rows) else share <= 0
+        wanted = max(0.0, float(share)) * total_tokens
+        reachable = own * most >= wanted
         budget = min(int(wanted), own * most)
         passes = budget // own if own else 0
         extra = fit_budget(lengths, counts, budget - passes * own, seed) if own and passes < most else np.zeros_like(counts)
