@@ -81,11 +81,9 @@ def term_frequencies(pairs: DataFrame) -> DataFrame:
 
 def request_terms(requests: DataFrame) -> DataFrame:
     """Pairs of the redaction items' ``label`` and ``source`` and the elements' ``tag``."""
-    def pairs(array: str, *fields: str) -> DataFrame:
-        tall = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"e.{f}").alias("term")) for f in fields)))
-        return requests.select("request_id", F.posexplode(array).alias("position", "e")).select(F.col("request_id").alias("record_id"), "position", tall.alias("p")).select("p.*", "record_id", "position")
-
-    return pairs("redaction_manifest", "label", "source").unionByName(pairs("dom_elements", "tag"))
+    fields = {"label": "redaction_manifest.label", "source": "redaction_manifest.source", "tag": "dom_elements.tag"}
+    columns = F.array(*(F.struct(F.lit(name).alias("field_name"), F.col(path).alias("terms")) for name, path in fields.items()))  # reads these leaves only
+    return requests.select(F.col("request_id").alias("record_id"), F.explode(columns).alias("f")).select("record_id", "f.field_name", F.posexplode("f.terms").alias("position", "term"))
 
 
 def mark_terms(frequencies: DataFrame, total_records: Column, rare_below: int = 5, common_above: float = 0.5) -> DataFrame:
