@@ -84,9 +84,10 @@ def _placed(df: DataFrame, kind: str, parts: list[Column]) -> DataFrame:
 
 def place_requests(requests: DataFrame, clients: DataFrame) -> DataFrame:
     """All rects and boxes of parsed requests in CSS px (``PLACED``)."""
-    base = request_contexts(requests.select("request_id", "client", "capture_note", "viewport", "dom_elements", "redaction_manifest"), clients)
-    rects = base.select("request_id", "units", "view", F.posexplode(F.transform("dom_elements", lambda e: e["rect"])).alias("at", "r"))
-    boxes = base.select("request_id", "units", "view", F.posexplode(F.transform("redaction_manifest", lambda e: e["box"])).alias("at", "b")).where(F.size("b") == 4)
+    narrow = requests.select("request_id", "client", "capture_note", "viewport", F.col("dom_elements.rect").alias("rects"), F.col("redaction_manifest.box").alias("boxes"))  # reads these leaves only
+    base = request_contexts(narrow, clients).select("request_id", "units", "view", "rects", "boxes")
+    rects = base.select("request_id", "units", "view", F.posexplode("rects").alias("at", "r"))
+    boxes = base.select("request_id", "units", "view", F.posexplode("boxes").alias("at", "b")).where(F.size("b") == 4)
     return _placed(rects, "rect", [F.col(f"r.{n}") for n in ("left", "top", "width", "height")]).unionByName(_placed(boxes, "box", [F.col("b")[i] for i in range(4)]))
 
 
