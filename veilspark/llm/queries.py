@@ -15,7 +15,7 @@ from . import mixing, normalize, packing, pii, stuffing, tokens
 def element_texts(spark: SparkSession, d: str) -> DataFrame:
     """(record_kind, record_id, elem_ord, text) of ``elements`` and of ``requests.dom_elements``."""
     a = table(spark, d, "elements").select(F.lit("element").alias("record_kind"), F.col("page_id").alias("record_id"), F.col("ord").alias("elem_ord"), "text")
-    r = table(spark, d, "requests").select("request_id", F.posexplode(F.transform("dom_elements", lambda e: e["text"])).alias("elem_ord", "text"))
+    r = table(spark, d, "requests").select("request_id", F.posexplode("dom_elements.text").alias("elem_ord", "text"))
     return a.unionByName(r.select(F.lit("dom_element").alias("record_kind"), F.col("request_id").alias("record_id"), "elem_ord", "text"))
 
 
