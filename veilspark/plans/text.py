@@ -13,7 +13,7 @@ from ..session import spread
 from .sqlgen import hits_sql, luhn_sql, scrubbed_sql, verhoeff_sql
 from .tables import table
 
-#: Texts with a known outcome: identifiers, near misses, overlaps and boundaries.
+# Texts with a known outcome. The first 13 hold an identifier, the next 8 do not; then overlaps, runs and boundaries.
 SAMPLES = (
     "arjun.mehta@example.in", "7412 8536 0906", "7412 8536 1907", "ABCDE1234F", "QWERT5678G", "4111 1111 1111 1111", "5500 0055 5555 5559", "arjun.mehta@okicici", "arjun@paytm", "HDFC0001234",
     "SBIN0001234", "9876543210", "+91 9876543210", "1234 5678 1234 5678", "2345 6789 0123", "52,999", "REF-2026-00814", "TPX1C-16GB-512", "0900 to 1800 IST", "v4.11.2 build 20260415", "BR-4471",
