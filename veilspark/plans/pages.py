@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import elements as E
 from ..functions.patterns import AUTOCOMPLETE_TOKENS, AUTOCOMPLETE_TOKENS_V1, NAME_PATTERN_V1, NAME_REGEX
 from ..operators import actions, digest
-from ..session import spread
+from ..session import materialise, spread
 from .sqlgen import hits_sql, scrubbed_sql
 from .tables import table
 
@@ -19,16 +19,21 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
     return digest.latest(spread(table(spark, d, "elements")))
 
 
+def _written_elements(spark: SparkSession, d: str) -> DataFrame:
+    """The same, written once for those who read them several times."""
+    return materialise(_elements(spark, d), "elements")
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "page_index")
 
 
 def haystacks(spark: SparkSession, d: str) -> DataFrame:
-    return digest.with_haystack(_elements(spark, d)).where("haystack <> ''").select("page_id", "ord", "haystack")
+    return digest.with_haystack(_written_elements(spark, d)).where("haystack <> ''").select("page_id", "ord", "haystack")
 
 
 def element_classes(spark: SparkSession, d: str) -> DataFrame:
-    return digest.classified(_elements(spark, d)).where("class IS NOT NULL").select("page_id", "ord", "class.*")
+    return digest.classified(_written_elements(spark, d)).where("class IS NOT NULL").select("page_id", "ord", "class.*")
 
 
 def layer_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -46,13 +51,13 @@ def labelled_elements(spark: SparkSession, d: str) -> DataFrame:
 
 def pointed_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels that point to an element: here the label elements, each pointing to the id of the element after it."""
-    e = _elements(spark, d)
+    e = _written_elements(spark, d)
     labels = e.where("tag = 'label'").select("page_id", (F.col("ord") + 1).alias("ord"), "text").join(e.where("id <> ''").select("page_id", "ord", F.col("id").alias("for_id")), ["page_id", "ord"])
     return digest.labels_for(e, labels).select("page_id", "ord", F.array_join("labels", " | ").alias("labels"))
 
 
 def field_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return digest.field_boxes(_elements(spark, d), _pages(spark, d)).select("page_id", "ord", "layer", "kind", "visible")
+    return digest.field_boxes(_written_elements(spark, d), _pages(spark, d)).select("page_id", "ord", "layer", "kind", "visible")
 
 
 def text_boxes_first400(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +65,7 @@ def text_boxes_first400(spark: SparkSession, d: str) -> DataFrame:
 
 
 def full_scan_by_layer(spark: SparkSession, d: str) -> DataFrame:
-    return digest.full_scan(_elements(spark, d), _pages(spark, d)).groupBy("layer", "kind").agg(F.count("*").alias("n"))
+    return digest.full_scan(_written_elements(spark, d), _pages(spark, d)).groupBy("layer", "kind").agg(F.count("*").alias("n"))
 
 
 def sensitive_elements_v1(spark: SparkSession, d: str) -> DataFrame:
@@ -80,17 +85,17 @@ def page_headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def digest_elements_top150(spark: SparkSession, d: str) -> DataFrame:
-    e = digest.digest_elements(_elements(spark, d), _pages(spark, d))
+    e = digest.digest_elements(_written_elements(spark, d), _pages(spark, d))
     return e.select("page_id", "ord", F.col("i").cast("bigint").alias("i"), "tag", "type", "role", "text", "sensitive", "pii_kind", *(F.col(f"rect.{n}").alias(n) for n in "xywh"))
 
 
 def page_digests(spark: SparkSession, d: str) -> DataFrame:
     """Digests as JSON, one row per page."""
-    return digest.build_digest(_elements(spark, d), _pages(spark, d)).select("page_id", F.to_json("digest").alias("digest"), F.to_json("stats").alias("stats"))
+    return digest.build_digest(_written_elements(spark, d), _pages(spark, d)).select("page_id", F.to_json("digest").alias("digest"), F.to_json("stats").alias("stats"))
 
 
 def digest_sizes(spark: SparkSession, d: str) -> DataFrame:
-    g = digest.build_digest(_elements(spark, d), _pages(spark, d))
+    g = digest.build_digest(_written_elements(spark, d), _pages(spark, d))
     return g.select("page_id", F.size("digest.elements").cast("bigint").alias("elements"), F.size("digest.headings").cast("bigint").alias("headings"), F.coalesce(F.element_at("stats.by_kind", "field"), F.lit(0)).cast("bigint").alias("fields"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import fusion
+from ..session import materialise
 from .tables import table
 
 _E = "SELECT DISTINCT page_id, ord, tag, type, rect FROM elements WHERE rect IS NOT NULL"
@@ -64,7 +65,8 @@ def _model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _masks(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.merge_boxes(dom_boxes(spark, d), _model(spark, d))
+    """Both kinds of boxes are read several times on the way to the masks, so they are written once."""
+    return fusion.merge_boxes(materialise(dom_boxes(spark, d), "dom-boxes"), materialise(_model(spark, d), "model-boxes"))
 
 
 def _parts(r: Column, places: int = 6) -> list[Column]:
@@ -95,7 +97,8 @@ def padded_masks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def release_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.gate_frames(frames(spark, d), fusion.prepared_masks(_masks(spark, d), frames(spark, d))).select("frame_id", "masks", "bad_masks", "state", "why")
+    prepared = fusion.prepared_masks(_masks(spark, d), frames(spark, d))
+    return fusion.gate_frames(frames(spark, d), prepared).select("frame_id", "masks", "bad_masks", "state", "why")
 
 
 def leaked_pixel_rate(spark: SparkSession, d: str) -> DataFrame:
