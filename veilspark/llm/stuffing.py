@@ -90,7 +90,7 @@ def judged_blocks(figures: DataFrame) -> DataFrame:
     return j.withColumn("redundancy", F.col("ratio") / drawn(F.col("m_ratio"), F.col("n"), _reference(F.col("band")))).withColumn("silence", F.col("ends") / drawn(F.col("m_ends"), F.col("n_ends"), F.lit(1.1)))
 
 
-def stuffed_pages(documents: DataFrame, redundant_below: float = 0.93, silent_below: float = 0.42, most: float = 0.5) -> DataFrame:
+def stuffed_pages(documents: DataFrame, redundant_below: float = 0.96, silent_below: float = 0.42, most: float = 0.5) -> DataFrame:
     """(doc_id, chars, stuffed_share, stuffed) of every document with text."""
     figures = materialise(blocks(documents), "stuffing-blocks")
     bad = (F.col("redundancy") < redundant_below) & (F.col("silence") < silent_below)
