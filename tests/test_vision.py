@@ -106,6 +106,14 @@ def test_leak_rate(spark):
     assert {r.frame_id: (r.total, r.leak_rate) for r in fusion.leaked_points(truth, masks, step=1.0, cell=4.0).collect()} == {1: (100, 0.0), 2: (100, 0.5), 3: (100, 1.0)}
 
 
+def test_leak_rate_on_the_fine_grid_within_the_frame(spark):
+    frames = spark.createDataFrame([(1, 100.0, 100.0), (2, 100.0, 100.0), (3, 100.0, 100.0)], "frame_id BIGINT, width DOUBLE, height DOUBLE")
+    truth = spark.createDataFrame([(1, (90.0, -10.0, 40.0, 20.0)), (2, (200.0, 0.0, 10.0, 10.0)), (3, (0.0, 0.0, 8.0, 4.0))], f"frame_id BIGINT, rect {RECT}")
+    masks = spark.createDataFrame([(3, (0.0, 0.0, 4.0, 4.0))], f"frame_id BIGINT, rect {RECT}")
+    got = {r.frame_id: (r.total, r.leaked, r.leak_rate) for r in fusion.leaked_points(truth, masks, frames=frames).collect()}
+    assert got == {1: (9, 9, 1.0), 2: (0, 0, 0.0), 3: (2, 1, 0.5)}  # a strip of 4 px that a grid of 8 px steps over
+
+
 def test_scores(spark):
     c = spark.createDataFrame([("a", 4, 1, 0), ("a", 0, 0, 0), ("b", 0, 0, 3), ("b", None, 2, None)], "k STRING, tp BIGINT, fp BIGINT, fn BIGINT")
     assert [(r.precision, r.recall, round(r.f1, 3)) for r in evaluate.per_case(c).collect()] == [(0.8, 1, 0.889), (1, 1, 1), (1, 0, 0), (0, 1, 0)]

@@ -100,12 +100,17 @@ def gate_frames(frames: DataFrame, prepared: DataFrame) -> DataFrame:
     return j.select("frame_id", "masks", "bad_masks", why.alias("why")).withColumn("state", F.when(F.col("why").isNull(), "released").otherwise("quarantine"))
 
 
-def leaked_points(truth: DataFrame, masks: DataFrame, step: float = 4.0, cell: float = 256.0) -> DataFrame:
+def leaked_points(truth: DataFrame, masks: DataFrame, step: float = 4.0, cell: float = 256.0, frames: DataFrame | None = None) -> DataFrame:
     """(frame_id, total, leaked, leak_rate): grid points of the true boxes that no mask of their frame covers.
 
+    With ``frames`` (frame_id, width, height) the true boxes are clamped to their frame, and
+    every frame has a row: without a point its total and rate are 0.
+
     A range anti-join on cells: masks are listed in every cell they touch,
     points look into their own. Masks hold their upper left edge, not their lower right.
     """
+    if frames is not None:
+        truth = truth.join(frames.select("frame_id", "width", "height"), "frame_id").select("frame_id", G.clamp_to_frame(F.col("rect"), F.col("width"), F.col("height")).alias("rect"))
     p = truth.select("frame_id", F.explode(G.grid_points(F.col("rect"), step)).alias("p")).select("frame_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
     p = p.withColumn("_cx", F.floor(F.col("px") / cell)).withColumn("_cy", F.floor(F.col("py") / cell))
     cells = lambda a, n: F.explode(F.sequence(F.floor(F.col(f"rect.{a}") / cell), F.floor((F.col(f"rect.{a}") + F.col(f"rect.{n}")) / cell)))
@@ -114,7 +119,9 @@ def leaked_points(truth: DataFrame, masks: DataFrame, step: float = 4.0, cell: f
     same = (F.col("p.frame_id") == F.col("m.frame_id")) & (F.col("p._cx") == F.col("m._cx")) & (F.col("p._cy") == F.col("m._cy"))
     leaked = p.alias("p").join(m.alias("m"), same & inside, "left_anti").groupBy("frame_id").agg(F.count("*").alias("leaked"))
     total = p.groupBy("frame_id").agg(F.count("*").alias("total"))
-    return total.join(leaked, "frame_id", "left").fillna(0, ["leaked"]).withColumn("leak_rate", F.col("leaked") / F.col("total"))
+    if frames is not None:
+        total = frames.select("frame_id").distinct().join(total, "frame_id", "left").fillna(0, ["total"])
+    return total.join(leaked, "frame_id", "left").fillna(0, ["leaked"]).withColumn("leak_rate", F.coalesce(F.try_divide("leaked", "total"), F.lit(0.0)))
 
 
 def top_masks(masks: DataFrame, n: int = 40) -> DataFrame:

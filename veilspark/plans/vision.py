@@ -102,10 +102,17 @@ def release_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leaked_pixel_rate(spark: SparkSession, d: str) -> DataFrame:
+    """On a coarse grid of 8 px, of boxes as they are; ``leaked_pixel_rate_4px`` has the reference's grid and clamps."""
     truth, masks = dom_boxes(spark, d), _model(spark, d)
     return fusion.leaked_points(truth.select("frame_id", "rect"), masks.select("frame_id", "rect"), step=8.0).select("frame_id", "total", "leaked", F.round("leak_rate", 9).alias("leak_rate"))
 
 
+def leaked_pixel_rate_4px(spark: SparkSession, d: str) -> DataFrame:
+    """On the reference's grid of 4 px, true boxes clamped to their frame; one row for every frame."""
+    truth, masks = dom_boxes(spark, d), _model(spark, d)
+    return fusion.leaked_points(truth.select("frame_id", "rect"), masks.select("frame_id", "rect"), frames=frames(spark, d)).select("frame_id", "total", "leaked", F.round("leak_rate", 9).alias("leak_rate"))
+
+
 def mask_manifest(spark: SparkSession, d: str) -> DataFrame:
     m = fusion.manifest(dom_boxes(spark, d).withColumn("source", F.lit("dom")))
     return m.select("frame_id", "label", *(F.col("box")[i].alias(n) for i, n in enumerate("xywh")))
@@ -164,7 +171,7 @@ def child_frames(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (frame_boxes, sensitive_classes, normalized_detections, merged_masks, padded_masks, release_quarantine, leaked_pixel_rate, mask_manifest, first_masks, earlier_policy_masks, iou_pairs, coord_roundtrip, letterboxes, scaled_boxes, child_frames)
+    for f in (frame_boxes, sensitive_classes, normalized_detections, merged_masks, padded_masks, release_quarantine, leaked_pixel_rate, leaked_pixel_rate_4px, mask_manifest, first_masks, earlier_policy_masks, iou_pairs, coord_roundtrip, letterboxes, scaled_boxes, child_frames)
 }
 _R = lambda n, places=6: ", ".join(f"floor({c} * {float(10**places)} + 0.5) / {float(10**places)} AS {c}" for c in n)
 _BAD = "(w < 1 OR h < 1)"
@@ -181,6 +188,12 @@ SQL: dict[str, str] = {
 pts AS (SELECT frame_id, px, y + i * 8.0 AS py FROM (SELECT *, unnest(range(CAST(ceil(h / 8.0) AS BIGINT))) AS i FROM px)),
 j AS (SELECT frame_id, EXISTS (SELECT 1 FROM model m WHERE m.frame_id = p.frame_id AND px >= m.x AND px < m.x + m.w AND py >= m.y AND py < m.y + m.h) AS covered FROM pts p)
 SELECT frame_id, count(*) AS total, CAST(count_if(NOT covered) AS BIGINT) AS leaked, round(count_if(NOT covered) / count(*), 9) AS leak_rate FROM j GROUP BY frame_id""",
+    "leaked_pixel_rate_4px": _INPUTS + """, truth AS (SELECT frame_id, greatest(0, least(x, width)) AS x, greatest(0, least(y, height)) AS y, greatest(0, least(x + w, width)) AS x2, greatest(0, least(y + h, height)) AS y2 FROM dom JOIN frames USING (frame_id)),
+px AS (SELECT frame_id, y, y2, x + i * 4.0 AS px FROM (SELECT *, unnest(range(CAST(ceil((x2 - x) / 4.0) AS BIGINT))) AS i FROM truth WHERE x2 > x AND y2 > y)),
+pts AS (SELECT frame_id, px, y + i * 4.0 AS py FROM (SELECT *, unnest(range(CAST(ceil((y2 - y) / 4.0) AS BIGINT))) AS i FROM px)),
+j AS (SELECT frame_id, EXISTS (SELECT 1 FROM model m WHERE m.frame_id = p.frame_id AND px >= m.x AND px < m.x + m.w AND py >= m.y AND py < m.y + m.h) AS covered FROM pts p),
+c AS (SELECT frame_id, count(*) AS total, CAST(count_if(NOT covered) AS BIGINT) AS leaked FROM j GROUP BY frame_id)
+SELECT frame_id, coalesce(total, 0) AS total, coalesce(leaked, 0) AS leaked, coalesce(round(leaked / total, 9), 0.0) AS leak_rate FROM frames LEFT JOIN c USING (frame_id)""",
     "mask_manifest": _INPUTS + "SELECT frame_id, kind AS label, " + ", ".join(f"CAST(floor({c} + 0.5) AS INT) AS {c}" for c in "xywh") + " FROM dom",
     "first_masks": _INPUTS + "SELECT frame_id, ord, source, place FROM (SELECT frame_id, ord, source, row_number() OVER (PARTITION BY frame_id ORDER BY CASE WHEN source = 'dom' THEN 0 ELSE 1 END, ord) AS place FROM masks) WHERE place <= 40",
     "earlier_policy_masks": _INPUTS + "SELECT source, label, count(*) AS n, round(sum(hh), 3) AS heights FROM (SELECT 'DOM' AS source, kind AS label, h AS hh FROM dom UNION ALL SELECT CASE WHEN label = 'person' THEN 'VISION_FACE_PROXY' ELSE 'VISION_OBJECT' END, label, CASE WHEN label = 'person' THEN greatest(h * 0.3, 10) ELSE h END FROM model WHERE score >= 0.5 AND label IN ('person', 'cell phone', 'laptop', 'book')) GROUP BY ALL",
