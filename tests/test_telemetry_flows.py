@@ -2,6 +2,7 @@ import json
 from datetime import datetime, timedelta
 
 from veilspark.operators import telemetry
+from veilspark.plans import flows
 from veilspark.sources import html
 from veilspark.sources import json as vjson
 from veilspark.streaming import replay
@@ -61,6 +62,20 @@ def test_streams_equal_batch(spark, tmp_path):
     assert last == {s: (50, (v[24] + v[25]) / 2) for s, v in want.items()}
 
 
+def _counts(out):
+    return {(r.start.hour, r.event_type): r.n for r in out.collect()}
+
+
+def test_windows_of_unordered_files(spark, tmp_path):
+    """Every file spans the whole period, so the first batch puts the rows of all others late."""
+    rows = [(T0 + timedelta(minutes=i), i % 3, "ab"[i % 2], float(i)) for i in range(240)]
+    events = _stream(spark, tmp_path, rows, "ts TIMESTAMP, session BIGINT, event_type STRING, value DOUBLE", 12)
+    want = {(h, k): 30 for h in range(4) for k in "ab"}
+    out = replay.run_available(replay.windowed_counts(events, late=None), "w12", "update")
+    assert out.select("batch").distinct().count() == 12 and _counts(replay.last_of(out, "start", "event_type")) == want
+    assert _counts(flows.stream_windows(spark, str(tmp_path))) == want
+
+
 def test_history_over_several_batches(spark, tmp_path):
     rows = [(T0 + timedelta(seconds=i), 1, float(i)) for i in range(100)]
     history = replay.bounded_history(_stream(spark, tmp_path, rows, "ts TIMESTAMP, session BIGINT, ms DOUBLE", 4), size=10)

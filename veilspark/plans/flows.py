@@ -20,7 +20,7 @@ from .tables import table
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Hourly counts by type, kept up by a stream; the last update of each window equals the batch result."""
     events = replay.stream_table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    out = replay.last_of(replay.run_available(replay.windowed_counts(events), "windows", "update"), "start", "event_type")
+    out = replay.last_of(replay.run_available(replay.windowed_counts(events, late=None), "windows", "update"), "start", "event_type")
     return out.select("start", "event_type", "n", F.round("total", 6).alias("total"))
 
 
