@@ -1,7 +1,11 @@
 import json
+import os
 import random
 
+import pytest
+
 from veilspark.operators import measures
+from veilspark.plans import corpus
 
 REQUESTS = "request_id BIGINT, client STRING, capture_note STRING, viewport MAP<STRING, DOUBLE>, dom_elements ARRAY<STRUCT<rect: STRUCT<left: DOUBLE, top: DOUBLE, width: DOUBLE, height: DOUBLE>>>, redaction_manifest ARRAY<STRUCT<box: ARRAY<INT>>>, units STRING, view STRING"
 CLIENTS = "client STRING, rect_unit STRING, box_unit STRING, viewport_unit STRING"
@@ -40,6 +44,25 @@ def test_bodies():
     assert [round(v, 6) for v in next(iter(measures.place_body(json.dumps(sized), {})))[2:]] == [480, 150, 96, 30]
 
 
+def test_viewports(spark, tmp_path):
+    r = [(1, "a", None, {"width": 10.0, "h": 5.0}, None, None, None, None), (2, "b", "viewport in device px", {"w": 800.0, "dpr": 2.0}, None, None, None, None), (3, "a", None, {"width": float("nan"), "dpr": 2.0}, None, None, None, None), (4, "b", None, None, None, None, None, None), (5, "b", None, {"width": 8.0, "height": 8.0}, None, None, None, None)]
+    got = measures.place_requests(spark.createDataFrame(r, REQUESTS), _clients(spark), viewports=True).collect()
+    assert sorted((tuple(x) for x in got), key=str) == [(1, "viewport", "", None, None, 960.0, 480.0), (2, "viewport", "", None, None, 400.0, None)]
+    units = {"viewport": "in"}
+    bodies = [{"viewport": "400px x 2in @2x"}, {"viewport": {"w": 10, "h": None}}, {"viewport": [800, 400], "units": {"viewport": "device px"}}, {"viewport": None, "task": "t"}, {"viewport": "wide"}]
+    assert [list(measures.place_body(json.dumps(b), units, viewports=True)) for b in bodies] == [[("viewport", "", None, None, 400, 192)], [("viewport", "", None, None, 960, None)], [("viewport", "", None, None, 800, 400)], [], []]
+    assert list(measures.place_body(json.dumps(bodies[0]), units)) == []
+    p = spark.createDataFrame([(9, "a", json.dumps(bodies[0]))], "request_id BIGINT, client STRING, body STRING")
+    assert [tuple(x) for x in measures.place_bodies(p, _clients(spark), viewports=True).collect()] == [(9, "viewport", "", None, None, 400.0, 192.0)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
+def test_placed_query_has_viewports_of_both_inputs(spark):
+    placed = corpus.p1_placed(spark, "/root/testdata/sf0.001").where("kind = 'viewport'")
+    for name in ("requests", "act_payloads"):
+        assert placed.join(spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").select("request_id"), "request_id", "left_semi").count() > 0
+
+
 def test_band_join_equals_brute_force(spark):
     r = random.Random(3)
     rows = []

@@ -11,11 +11,14 @@ Defined results: a missing pixel ratio is 1, a missing root font 16 px; values
 without any unit in force, shares of an unknown viewport, null, non-finite or
 unreadable numbers and boxes of other than four numbers give no row; empty
 tables give empty results; repeated rows give the same rows again, which
-:func:`matching_boxes` counts once.
+:func:`matching_boxes` counts once. A viewport (``viewports=True``) is a row of
+path ``''`` without left and top; if one of its sides is unknown that one is
+null, if both are there is no row.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -82,13 +85,22 @@ def _placed(df: DataFrame, kind: str, parts: list[Column]) -> DataFrame:
     return out.where(finite[0] & finite[1] & finite[2] & finite[3])
 
 
-def place_requests(requests: DataFrame, clients: DataFrame) -> DataFrame:
-    """All rects and boxes of parsed requests in CSS px (``PLACED``)."""
+def _known(side: Column) -> Column:
+    return F.when(~F.isnan(side) & (F.abs(side) != float("inf")), side)
+
+
+def place_requests(requests: DataFrame, clients: DataFrame, viewports: bool = False) -> DataFrame:
+    """All rects and boxes of parsed requests in CSS px (``PLACED``), with ``viewports`` those too."""
     narrow = requests.select("request_id", "client", "capture_note", "viewport", F.col("dom_elements.rect").alias("rects"), F.col("redaction_manifest.box").alias("boxes"))  # reads these leaves only
     base = request_contexts(narrow, clients).select("request_id", "units", "view", "rects", "boxes")
     rects = base.select("request_id", "units", "view", F.posexplode("rects").alias("at", "r"))
     boxes = base.select("request_id", "units", "view", F.posexplode("boxes").alias("at", "b")).where(F.size("b") == 4)
-    return _placed(rects, "rect", [F.col(f"r.{n}") for n in ("left", "top", "width", "height")]).unionByName(_placed(boxes, "box", [F.col("b")[i] for i in range(4)]))
+    placed = _placed(rects, "rect", [F.col(f"r.{n}") for n in ("left", "top", "width", "height")]).unionByName(_placed(boxes, "box", [F.col("b")[i] for i in range(4)]))
+    if not viewports:
+        return placed
+    none = F.lit(None).cast("double")
+    views = base.select("request_id", F.lit("viewport").alias("kind"), F.lit("").alias("path"), none.alias("left"), none.alias("top"), *(_known(F.col(f"view.{n}")).alias(n) for n in ("width", "height")))
+    return placed.unionByName(views.where("width IS NOT NULL OR height IS NOT NULL"))
 
 
 # ------------------------------------------------------------------ unparsed bodies
@@ -140,8 +152,8 @@ def body_context(request: dict, in_force: dict[str, Unit | None]) -> Context:
     return Context(*(_resolve(x, beside, in_force["viewport"], plain, i == 0) for i, x in enumerate((w, h))), plain.ratio, plain.root)
 
 
-def place_body(body: str | None, client_units: dict[str, str | None]) -> Iterator[tuple[str, str, float, float, float, float]]:
-    """(kind, path, left, top, width, height) of every rect and box of one body."""
+def place_body(body: str | None, client_units: dict[str, str | None], viewports: bool = False) -> Iterator[tuple[str, str, float | None, float | None, float | None, float | None]]:
+    """(kind, path, left, top, width, height) of every rect and box of one body, with ``viewports`` of its viewport too."""
     request = parse_body(body)
     if request is None:
         return
@@ -149,6 +161,10 @@ def place_body(body: str | None, client_units: dict[str, str | None]) -> Iterato
     said = dict(stated_units(said)) if isinstance(said, str) else said if isinstance(said, dict) else {}
     in_force = {f: parse_unit(u) if isinstance(u := said.get(f), str) and parse_unit(u) else parse_unit(client_units.get(f)) for f in FIELDS}
     context = body_context(request, in_force)
+    if viewports:
+        size = [v if v is not None and math.isfinite(v) else None for v in (context.width, context.height)]
+        if size != [None, None]:
+            yield "viewport", "", None, None, *size
     for tag, path, _, node in visit(request):
         if tag == "rect":
             kind, value, owner, path = "rect", node["value"], node["element"], path.removesuffix("/rect")
@@ -167,15 +183,15 @@ def place_body(body: str | None, client_units: dict[str, str | None]) -> Iterato
             yield kind, path, *sides
 
 
-def place_bodies(payloads: DataFrame, clients: DataFrame, body: str = "body") -> DataFrame:
-    """All rects and boxes of unparsed bodies in CSS px (``PLACED``)."""
+def place_bodies(payloads: DataFrame, clients: DataFrame, body: str = "body", viewports: bool = False) -> DataFrame:
+    """All rects and boxes of unparsed bodies in CSS px (``PLACED``), with ``viewports`` those too."""
     c = clients.select(F.col("client").alias("_client"), *(F.col(f"{f}_unit").alias(f"_{f}") for f in FIELDS)).dropDuplicates(["_client"])
     joined = payloads.select(F.col("request_id").cast("bigint"), "client", F.col(body).alias("_body")).join(c, F.col("client") == F.col("_client"), "left").select("request_id", "_body", *(f"_{f}" for f in FIELDS))
     schema = pa.schema([("request_id", pa.int64()), ("kind", pa.string()), ("path", pa.string()), *((n, pa.float64()) for n in ("left", "top", "width", "height"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, *r) for key, text, *units in zip(*(c.to_pylist() for c in batch.columns)) for r in place_body(text, dict(zip(FIELDS, units)))]
+            rows = [(key, *r) for key, text, *units in zip(*(c.to_pylist() for c in batch.columns)) for r in place_body(text, dict(zip(FIELDS, units)), viewports)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 

@@ -12,9 +12,9 @@ from ..session import shared_dir, spread
 from .tables import table
 
 
-def _placed(spark: SparkSession, d: str) -> DataFrame:
+def _placed(spark: SparkSession, d: str, viewports: bool = False) -> DataFrame:
     clients = table(spark, d, "clients")
-    return measures.place_requests(table(spark, d, "requests"), clients).unionByName(measures.place_bodies(spread(table(spark, d, "act_payloads")), clients))
+    return measures.place_requests(table(spark, d, "requests"), clients, viewports).unionByName(measures.place_bodies(spread(table(spark, d, "act_payloads")), clients, viewports=viewports))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,8 +22,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_placed(spark: SparkSession, d: str) -> DataFrame:
-    """Every rect and box in CSS px, rounded to a thousandth."""
-    return _placed(spark, d).select("request_id", "kind", "path", *(F.round(n, 3).alias(n) for n in ("left", "top", "width", "height"))).distinct()
+    """Every rect, box and viewport in CSS px, rounded to a thousandth."""
+    return _placed(spark, d, viewports=True).select("request_id", "kind", "path", *(F.round(n, 3).alias(n) for n in ("left", "top", "width", "height"))).distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
