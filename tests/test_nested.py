@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 from veilspark.operators import nested
 
@@ -52,3 +53,18 @@ def test_parsed_arrays(spark, rows):
     s = "request_id BIGINT, dom_elements ARRAY<STRUCT<tag: STRING, rect: STRUCT<left: DOUBLE>>>, redaction_manifest ARRAY<STRUCT<label: STRING>>"
     df = spark.createDataFrame([(1, [None, ("a", None), ("b", (1.0,))], None), (2, None, []), (3, [], [("x",), None])], s)
     assert rows(nested.flatten_arrays(df)) == [(1, "element", "1", ""), (1, "element", "2", ""), (1, "rect", "2/rect", "2"), (3, "redaction", "0", "")]
+
+
+def test_parsed_requests_keep_their_fields(spark, rows, tmp_path):
+    s = "request_id BIGINT, task STRING, viewport MAP<STRING, DOUBLE>, capture_note STRING, received_at TIMESTAMP, dom_elements ARRAY<STRUCT<tag: STRING, text: STRING, is_interactive: BOOLEAN, rect: STRUCT<left: DOUBLE, top: DOUBLE>>>, redaction_manifest ARRAY<STRUCT<label: STRING, box: ARRAY<INT>>>"
+    at = [datetime(2025, 1, 1), datetime(2025, 1, 2)]
+    data = [(1, "t", {"w": 8.0}, "in mm", t, [None, ("a", 'x "1"', True, None), ("b", None, None, (1.5, None))], [None, ("y", [1, 2, 3, 4])]) for t in at]
+    tagged = nested.emit_arrays(spark.createDataFrame([*data, (2, None, None, None, None, None, [])], s))
+    assert [(f.name, f.dataType) for f in tagged.schema] == [(f.name, f.dataType) for f in spark.createDataFrame([], nested.TAGGED).schema]
+    body = spark.createDataFrame([(3, json.dumps({"task": "u", "dom_elements": [{"tag": "c", "rect": [1, 2, 3, 4]}]}))], "request_id BIGINT, body STRING")
+    nested.write_tables(tagged.unionByName(nested.emit_tagged(body)), str(tmp_path / "t"))
+    read = lambda kind, *names: rows(nested.read_table(spark, str(tmp_path / "t"), kind).distinct().select("request_id", "node_path", "parent_path", *names))
+    assert read("request", "task", "viewport", "capture_note") == [(1, "", "", "t", '{"w":8.0}', "in mm"), (2, "", "", None, None, None), (3, "", "", "u", None, None)]
+    assert read("element", "tag", "text", "is_interactive") == [(1, "1", "", "a", 'x "1"', True), (1, "2", "", "b", None, None), (3, "0", "", "c", None, None)]
+    assert read("rect", "value") == [(1, "2/rect", "2", '{"left":1.5}'), (3, "0/rect", "0", "[1, 2, 3, 4]")]
+    assert read("redaction", "label", "box") == [(1, "1", "", "y", "[1,2,3,4]")]

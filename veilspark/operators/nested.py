@@ -18,6 +18,8 @@ Defined results
 * Deliveries repeated with the same content give the same rows, once, after
   :func:`distinct_nodes`.
 * Only ``key`` and ``body`` columns are read; any other column may be there.
+* Parsed requests (:func:`emit_arrays`) give rows of the same shape, so one
+  set of tables serves both. Absent and null fields are null in either.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("request", "element", "rect", "redaction", "unreadable")
 TAGGED = "request_id BIGINT, node_kind STRING, node_path STRING, parent_path STRING, fields STRING"
 #: Typed schema of each table's fields; values of varying shape stay JSON text.
 SCHEMAS = {
-    "request": "task STRING, url STRING, viewport STRING, units STRING",
+    "request": "task STRING, url STRING, viewport STRING, units STRING, capture_note STRING, session_id STRING, client STRING, sent_at STRING, sanitized_image_base64 STRING",
     "element": "tag STRING, id STRING, name STRING, type STRING, text STRING, selector STRING, is_interactive BOOLEAN",
     "rect": "value STRING",
     "redaction": "source STRING, label STRING, box STRING, unit STRING",
@@ -149,15 +152,49 @@ def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.select("request_id", "node_path", "parent_path", F.from_json("fields", SCHEMAS[kind]).alias("f")).select("request_id", "node_path", "parent_path", "f.*")
 
 
+def _payload(names: dict[str, Column], types: T.StructType) -> Column:
+    """A node's fields as JSON, as ``_emit`` gives them: text and flags as they are, all else as text."""
+    parts = []
+    for f in types.fields:
+        if f.name in names:
+            c = names[f.name]
+            plain = isinstance(f.dataType, (T.StringType, T.BooleanType))
+            nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
+            parts.append((c if plain else F.to_json(c) if nested else c.cast("string")).alias(f.name))
+    return F.to_json(F.struct(*parts)) if parts else F.lit("{}")
+
+
+def _node(kind: str, path: Column, parent: Column, fields: Column) -> Column:
+    return F.struct(F.lit(kind).alias("node_kind"), path.alias("node_path"), parent.alias("parent_path"), fields.alias("fields"))
+
+
+def emit_arrays(requests: DataFrame, with_fields: bool = True) -> DataFrame:
+    """One row per node of every parsed request (``TAGGED``), as :func:`emit_tagged` for bodies; null entries keep their position.
+
+    Each row is expanded once, into all of its nodes. Columns and struct fields
+    named as in ``SCHEMAS`` are the payload, whichever of them are there. What
+    tells one delivery from another (``received_at``) is no part of a request.
+    """
+    none, null = F.lit(""), F.lit(None).cast("string")
+    of = lambda kind, value, types: _payload({n: value[n] for n in _FIELDS[kind]}, T.StructType([f for f in types.fields if f.name in _FIELDS[kind]])) if with_fields else null
+    element, item = requests.schema["dom_elements"].dataType.elementType, requests.schema["redaction_manifest"].dataType.elementType
+    rect = T.StructType([T.StructField("value", element["rect"].dataType)])
+
+    def nodes_of_element(e: Column, at: Column) -> Column:
+        path = at.cast("string")
+        own = F.when(e.isNotNull(), _node("element", path, none, of("element", e, element)))
+        return F.array(own, F.when(e["rect"].isNotNull(), _node("rect", F.concat(path, F.lit("/rect")), path, _payload({"value": e["rect"]}, rect) if with_fields else null)))
+
+    request = _payload({n: F.col(n) for n in requests.columns}, T.StructType([f for f in requests.schema.fields if f.name in _FIELDS["request"]])) if with_fields else null
+    nodes = F.concat(
+        F.array(_node("request", none, none, request)),
+        F.flatten(F.transform(F.coalesce(F.col("dom_elements"), F.array().cast(requests.schema["dom_elements"].dataType)), nodes_of_element)),
+        F.transform(F.coalesce(F.col("redaction_manifest"), F.array().cast(requests.schema["redaction_manifest"].dataType)), lambda e, at: F.when(e.isNotNull(), _node("redaction", at.cast("string"), none, of("redaction", e, item)))),
+    )
+    rows = requests.select(F.col("request_id").cast("bigint").alias("request_id"), F.explode(nodes).alias("n")).where("n IS NOT NULL")
+    return rows.select("request_id", "n.*")
+
+
 def flatten_arrays(requests: DataFrame) -> DataFrame:
     """The arrays of parsed requests as links of the same shape (no ``fields``); null entries keep their position."""
-    elements = requests.select("request_id", F.posexplode("dom_elements").alias("at", "e")).where("e IS NOT NULL")
-    path = F.col("at").cast("string")
-    none = F.lit("")
-    return (
-        elements.select("request_id", F.lit("element").alias("node_kind"), path.alias("node_path"), none.alias("parent_path"))
-        .unionByName(elements.where("e.rect IS NOT NULL").select("request_id", F.lit("rect").alias("node_kind"), F.concat(path, F.lit("/rect")).alias("node_path"), path.alias("parent_path")))
-        .unionByName(
-            requests.select("request_id", F.posexplode("redaction_manifest").alias("at", "e")).where("e IS NOT NULL").select("request_id", F.lit("redaction").alias("node_kind"), path.alias("node_path"), none.alias("parent_path"))
-        )
-    )
+    return emit_arrays(requests, with_fields=False).where("node_kind <> 'request'").drop("fields")

@@ -31,11 +31,27 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.distinct_nodes(tagged.where(F.col("node_kind").isin("element", "rect", "redaction")))
 
 
-def p2_elements(spark: SparkSession, d: str) -> DataFrame:
-    """The elements' table, through the tables written by tag."""
+def _nodes(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """One of the tables of bodies and parsed requests, through the tables written by tag."""
     path = shared_dir(spark, "nested")
-    nested.write_tables(nested.emit_tagged(spread(table(spark, d, "act_payloads"))), path)
-    return nested.read_table(spark, path, "element").distinct()
+    nested.write_tables(nested.emit_tagged(spread(table(spark, d, "act_payloads"))).unionByName(nested.emit_arrays(spread(table(spark, d, "requests")))), path)
+    return nested.read_table(spark, path, kind).distinct()
+
+
+def p2_requests(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d, "request")
+
+
+def p2_elements(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d, "element")
+
+
+def p2_rects(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d, "rect")
+
+
+def p2_redactions(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d, "redaction")
 
 
 def p2_request_links(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +80,7 @@ c AS (SELECT field_name, term, CAST(count(*) AS BIGINT) AS occurrences, CAST(cou
 v AS (SELECT *, CASE WHEN records < 5 THEN 'rare' WHEN records > 0.5 * (SELECT count(DISTINCT request_id) FROM requests) THEN 'common' ELSE 'useful' END AS verdict FROM c)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_placed, p2_found, p2_elements, p2_request_links, p3_found, p3_term_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_placed, p2_found, p2_requests, p2_elements, p2_rects, p2_redactions, p2_request_links, p3_found, p3_term_counts)}
 SQL: dict[str, str] = {
     "p2_request_links": """WITH el AS (SELECT request_id, unnest(dom_elements) AS e, unnest(range(len(dom_elements))) AS pos FROM requests),
 m AS (SELECT request_id, unnest(redaction_manifest) AS e, unnest(range(len(redaction_manifest))) AS pos FROM requests)
