@@ -1,8 +1,13 @@
 import json
+import os
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
+from veilspark.functions.text import scan_text
 from veilspark.operators import telemetry
-from veilspark.plans import flows
+from veilspark.plans import flows, measure
 from veilspark.sources import html
 from veilspark.sources import json as vjson
 from veilspark.streaming import replay
@@ -107,3 +112,15 @@ def test_json_sources(spark, tmp_path, rows):
     assert rows(vjson.read_results(spark, str(tmp_path / "r.json")).select("id", "tp", "fp", "precision")) == [("c1", 2, None, 0.5)]
     b = spark.createDataFrame([(1, '{"task": "t", "url": "u"}'), (2, "{"), (3, None), (4, '{"dom_elements": [{"rect": "text"}]}')], "i INT, body STRING")
     assert rows(vjson.parse_requests(b).select("i", "malformed", "plain", "parsed_task")) == [(1, False, True, "t"), (2, True, False, None), (3, True, False, None), (4, False, False, None)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
+def test_parity_covers_all_texts(spark, monkeypatch):
+    """A native scanner that misses everything differs on texts of each table."""
+    texts = measure._scanned(spark, "/root/testdata/sf0.001")
+    kinds = texts.where("text IS NOT NULL").select(F.regexp_replace("key", r"\d+", "0").alias("k")).distinct()
+    assert {r.k for r in kinds.collect()} == {"0-0", "r0", "r0-0", "d0"}
+    own = spark.createDataFrame([("d1", "mail a@b.com"), ("d2", "mail a@b.com"), ("0-1", None)], "key STRING, text STRING")
+    assert measure._scanner_differences(own).count() == 0
+    monkeypatch.setattr(measure, "scan_text", lambda c: scan_text(F.substring(c, 1, 0)))
+    assert [(r.key, r.kind) for r in measure._scanner_differences(own).collect()] == [("d1", "email")]

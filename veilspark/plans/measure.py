@@ -13,7 +13,7 @@ from ..operators import evaluate, telemetry
 from . import vision
 from .sqlgen import hits_sql
 from .tables import table
-from .text import SAMPLES, samples
+from .text import SAMPLES, _texts, samples
 
 _POSITIVE = 13  # the first samples are identifiers, those up to 21 are not
 
@@ -52,16 +52,29 @@ def box_recall(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.box_cases(vision.dom_boxes(spark, d), vision._model(spark, d)).select("frame_id", "tp", "fp", "fn")
 
 
-def detector_parity(spark: SparkSession, d: str) -> DataFrame:
-    """Hits on which the native scanner and the Python one disagree: none."""
+def _scanner_differences(texts: DataFrame) -> DataFrame:
+    """Hits of (key, text) on which the native scanner and the Python one disagree; equal texts are scanned once, under one of their keys."""
+    spark = texts.sparkSession
     udf.register_sql(spark)
-    t = table(spark, d, "requests").select("request_id", "task").where("task IS NOT NULL").distinct()
-    native = t.select("request_id", F.inline(scan_text(F.col("task")))).select("request_id", F.col("id").alias("kind"), "match", "idx")
-    t.createOrReplaceTempView("veil_tasks")
-    python = spark.sql("SELECT t.request_id, r.kind, r.match, r.idx FROM veil_tasks t, LATERAL scan_text_rows(t.task) r")
+    t = texts.where("text IS NOT NULL").groupBy("text").agg(F.min("key").alias("key"))
+    native = t.select("key", F.inline(scan_text(F.col("text")))).select("key", F.col("id").alias("kind"), "match", "idx")
+    t.createOrReplaceTempView("veil_texts")
+    python = spark.sql("SELECT t.key, r.kind, r.match, r.idx FROM veil_texts t, LATERAL scan_text_rows(t.text) r")
     return evaluate.differences(native, python)
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """(key, text) of all texts that the native scanner is used on: of elements, tasks, ``dom_elements`` (``r1-0``) and documents (``d1``)."""
+    dom = table(spark, d, "requests").select("request_id", F.posexplode("dom_elements.text").alias("at", "text")).select(F.concat(F.lit("r"), "request_id", F.lit("-"), "at").alias("key"), "text")
+    documents = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), "text")
+    return _texts(spark, d).select("key", "text").unionByName(dom).unionByName(documents)
+
+
+def detector_parity(spark: SparkSession, d: str) -> DataFrame:
+    """Hits on which the native scanner and the Python one disagree: none. ``request_id`` is the text's key, a request's or not."""
+    return _scanner_differences(_scanned(spark, d)).withColumnRenamed("key", "request_id")
+
+
 def _timings(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(F.col("user_id").alias("session"), F.date_trunc("hour", "ts").alias("frame"), "ts", F.col("event_type").alias("stage"), F.col("value").alias("ms"), "event_id")
