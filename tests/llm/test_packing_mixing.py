@@ -80,6 +80,20 @@ def test_budget_on_large_histograms():
     assert mixing.fit_budget(np.array([7]), np.array([3]), 20).tolist() == [2] and mixing.fit_budget(np.array([], int), np.array([], int), 5).tolist() == []
 
 
+def test_budget_of_few_long_documents():
+    lengths, counts = np.array([50_000, 90_000, 100_000]), np.array([1, 1, 1])
+    assert all(mixing.fit_budget(lengths, counts, 150_000, seed).tolist() == [1, 0, 1] for seed in range(20))
+    r = random.Random(9)
+    for _ in range(60):
+        lengths, counts = np.array(sorted(r.sample(range(1, 60), 5))), np.array([r.randrange(1, 4) for _ in range(5)])
+        sums = {0}
+        for size, c in zip(lengths.tolist(), counts.tolist()):
+            sums = {s + k * size for s in sums for k in range(c + 1)}
+        budget = r.randrange(0, max(sums))
+        take = mixing.fit_budget(lengths, counts, budget, dp_tokens=r.choice((1, 5, 20)))
+        assert (take <= counts).all() and int((take * lengths).sum()) == max(s for s in sums if s <= budget)
+
+
 def test_mix_end_to_end(spark):
     data = [(i, "big", 10 + i % 3) for i in range(600)] + [(1000 + i, "small", 7) for i in range(30)] + [(2000 + i, "tiny", 5) for i in range(3)] + [(3000, None, 9), (3001, "other", 9), (3002, "big", 0)]
     sizes = spark.createDataFrame(data, "doc_id BIGINT, source STRING, tokens BIGINT")

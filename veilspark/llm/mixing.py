@@ -4,8 +4,12 @@ Sizes are counted by exact token length, so a source is a histogram however
 many documents it has. A source's budget is its share of all tokens; as many
 full passes over it as fit are taken first. What remains is a subset-sum over
 the histogram: every length gives the same part of its documents, and the last
-few thousand tokens are fitted by bounded-knapsack dynamic programming, so the
-budget is met to the token where any choice can. Documents of a chosen length
+few thousand tokens are fitted by bounded-knapsack dynamic programming. Where
+that falls short, as with few or long documents, the programme gets more and
+at last all of what remains, so the budget is met as nearly as any choice of
+these documents can. It stops at sums beyond ``MOST_SUMS`` (in units of the
+lengths' common divisor) or beyond ``MOST_WORK`` steps; only a source whose
+remaining budget is larger may then fall short. Documents of a chosen length
 are then selected by seeded hash, in ranges of it: lengths that a third of all
 documents share are ranked in small pieces.
 
@@ -27,6 +31,8 @@ from ..session import materialise
 
 CHOICE = "source STRING, tokens BIGINT, docs BIGINT, passes INT, extra BIGINT, reachable BOOLEAN"
 DP_TOKENS = 60_000
+MOST_SUMS = 20_000_000
+MOST_WORK = 4_000_000_000
 _RANGES = 4096
 
 
@@ -48,7 +54,7 @@ def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             n, k = n - k, k * 2
     reached = np.zeros(budget + 1, bool)
     reached[0] = True
-    first = np.full(budget + 1, -1, np.int64)
+    first = np.full(budget + 1, -1, np.int32)
     for at, (weight, _, _) in enumerate(items):
         if weight <= budget:
             new = np.flatnonzero(reached[: budget + 1 - weight] & ~reached[weight:]) + weight
@@ -64,11 +70,8 @@ def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     return take
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0, dp_tokens: int = DP_TOKENS) -> np.ndarray:
-    """Documents to take of each length so that their tokens sum to ``budget`` (at most ``counts``)."""
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, dp_tokens: int) -> np.ndarray:
     total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
     use = lengths > 0
     # the same part of every length, but for what the programme fits; exact integers, as totals may be large
     part = max(0, budget - dp_tokens // 2)
@@ -86,6 +89,25 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     return take
 
 
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0, dp_tokens: int = DP_TOKENS) -> np.ndarray:
+    """Documents to take of each length so that their tokens sum to ``budget`` (at most ``counts``)."""
+    if budget >= int((lengths * counts).sum()):
+        return counts.copy()
+    unit = int(np.gcd.reduce(lengths))  # no sum lies between its multiples
+    lengths, budget = lengths // unit, budget // unit
+    best, spent = None, -1
+    while True:
+        take = _fit(lengths, counts, budget, seed, dp_tokens)
+        if (s := int((take * lengths).sum())) > spent:
+            best, spent = take, s
+        if spent == budget or dp_tokens >= 2 * budget:  # nothing is fixed before the programme: no choice comes nearer
+            return best
+        dp_tokens = min(8 * dp_tokens, 2 * budget)
+        items = sum(min(int(c), 2 * dp_tokens // int(n)).bit_length() for n, c in zip(lengths.tolist(), counts.tolist()) if n)
+        if min(dp_tokens, budget) > MOST_SUMS or items * min(dp_tokens, budget) > MOST_WORK:
+            return best
+
+
 def choose(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """``CHOICE``: for every source and token length, the full passes over all of its documents and the extra documents."""
     t = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most"))
