@@ -66,6 +66,17 @@ def test_long_texts_count_the_same_in_pieces():
     assert count("a" * 400_000) > 0
 
 
+@pytest.mark.skipif(not os.path.exists(tokens.DEFAULT_PATH), reason="no public tokenizer here")
+@pytest.mark.parametrize("gap", ["\n\n", " \n", "\r\n\r\n", "\n\n  ", "\u3000\n\n", " "])
+def test_pieces_split_as_the_whole(monkeypatch, gap):
+    count = tokens.counter(tokens.DEFAULT_PATH)
+    text = "".join(f"para {i} ends here!{gap}" for i in range(400))
+    whole = count(text)
+    monkeypatch.setattr(tokens, "_WHOLE", 50)
+    assert "".join(tokens._pieces(text)) == text and len(list(tokens._pieces(text))) > 20
+    assert count(text) == whole
+
+
 def test_json_tokenizers_agree_roughly():
     path = "/opt/tokenizers/byte_bpe_50k.json"
     if not os.path.exists(path):

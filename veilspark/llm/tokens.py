@@ -9,6 +9,7 @@ within a text are ordinary text; whole texts are counted.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -22,6 +23,7 @@ DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The splitting pattern published with the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WHOLE = 200_000
+_CUT = re.compile(r"(?<=\S)[ \t\r\n]")
 
 
 @lru_cache(maxsize=4)
@@ -38,7 +40,7 @@ def counter(path: str) -> Callable[[str], int]:
             text = text.encode("utf-8", "replace").decode("utf-8")  # lone surrogates can't be encoded
             if len(text) <= _WHOLE:
                 return len(encoding.encode_ordinary(text))
-            # the pattern never joins a line end with what follows it, so very long texts are counted line by line
+            # very long texts are counted in parts that split as the whole does
             return sum(len(encoding.encode_ordinary(part)) for part in _pieces(text))
 
         return count
@@ -50,13 +52,14 @@ def counter(path: str) -> Callable[[str], int]:
 
 
 def _pieces(text: str) -> Iterator[str]:
-    """Parts of about ``_WHOLE`` characters, cut between a line end and a character that is no white space."""
+    """Parts of about ``_WHOLE`` characters, cut between a character that is no white space and the white space that follows it.
+
+    The pattern never joins these two, and a run of white space stays whole in its part, so the parts split as the whole text does.
+    """
     start = 0
     while start < len(text):
-        stop = start + _WHOLE
-        while stop < len(text) and not (text[stop - 1] == "\n" and not text[stop].isspace()):
-            at = text.find("\n", stop)
-            stop = len(text) if at < 0 else at + 1
+        cut = _CUT.search(text, start + _WHOLE)
+        stop = cut.start() if cut else len(text)
         yield text[start:stop]
         start = stop
 
