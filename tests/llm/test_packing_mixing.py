@@ -112,6 +112,16 @@ def test_mix_end_to_end(spark):
     assert uses.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_repeated_rows_of_one_id_count_once(spark):
+    data = [(1, "a", 10), (2, "a", 10), (3, "b", 10), (3, "b", 10), (3, "b", 10), (None, "a", 5), (None, "a", 5)]
+    sizes = spark.createDataFrame(data, "doc_id BIGINT, source STRING, tokens BIGINT")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source STRING, target_share DOUBLE, max_repeats INT")
+    choice = mixing.choose(sizes, targets)
+    assert {r.source for r in choice.where("NOT reachable").collect()} == {"b"}  # 10 of 40 tokens; counted as 30 of 60 it would reach its share
+    assert choice.agg(F.sum(F.col("tokens") * F.col("docs"))).first()[0] == 40
+    assert [r.uses for r in mixing.uses(sizes, choice).where("doc_id = 3").collect()] == [1]
+
+
 def test_hot_length_is_selected_exactly(spark):
     """All documents of one length: the quota is met across hash ranges, not in one group."""
     sizes = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(4).cast("bigint").alias("tokens"))

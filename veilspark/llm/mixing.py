@@ -108,10 +108,16 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
             return best
 
 
+def distinct_documents(sizes: DataFrame) -> DataFrame:
+    """(doc_id, source, tokens), rows repeated under one id once; rows without an id can't be told to be repeats and stay."""
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return sizes.groupBy("doc_id", "source", apart.alias("apart")).agg(F.max("tokens").alias("tokens")).select("doc_id", "source", "tokens")
+
+
 def choose(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """``CHOICE``: for every source and token length, the full passes over all of its documents and the extra documents."""
     t = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most"))
-    histogram = materialise(sizes.groupBy("source", "tokens").agg(F.count("*").alias("docs")).join(t, "source", "right"), "mix-histogram")
+    histogram = materialise(distinct_documents(sizes).groupBy("source", "tokens").agg(F.count("*").alias("docs")).join(t, "source", "right"), "mix-histogram")
     total = histogram.agg(F.coalesce(F.sum(F.col("tokens") * F.col("docs")), F.lit(0)).alias("n")).scalar()
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -135,7 +141,7 @@ def choose(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
 def uses(sizes: DataFrame, choice: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, source, tokens, uses): how often each document is used."""
     h = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    keyed = sizes.select("doc_id", "source", "tokens", h.alias("h"), F.pmod(F.shiftright(h, 20), F.lit(_RANGES)).cast("int").alias("rng"))
+    keyed = distinct_documents(sizes).select("doc_id", "source", "tokens", h.alias("h"), F.pmod(F.shiftright(h, 20), F.lit(_RANGES)).cast("int").alias("rng"))
     by_range = keyed.groupBy("source", "tokens", "rng").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "tokens").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quota = by_range.withColumn("before", before).join(choice.where("tokens IS NOT NULL").select("source", "tokens", "passes", "extra"), ["source", "tokens"])
