@@ -72,12 +72,12 @@ def _counts(out):
 
 
 def test_windows_of_unordered_files(spark, tmp_path):
-    """Every file spans the whole period, so the first batch puts the rows of all others late."""
+    """Every file spans the whole period, so the first batch puts the rows of the third and later ones late; the query reads 8 a batch."""
     rows = [(T0 + timedelta(minutes=i), i % 3, "ab"[i % 2], float(i)) for i in range(240)]
-    events = _stream(spark, tmp_path, rows, "ts TIMESTAMP, session BIGINT, event_type STRING, value DOUBLE", 12)
+    events = _stream(spark, tmp_path, rows, "ts TIMESTAMP, session BIGINT, event_type STRING, value DOUBLE", 30)
     want = {(h, k): 30 for h in range(4) for k in "ab"}
-    out = replay.run_available(replay.windowed_counts(events, late=None), "w12", "update")
-    assert out.select("batch").distinct().count() == 12 and _counts(replay.last_of(out, "start", "event_type")) == want
+    out = replay.run_available(replay.windowed_counts(events, late=None), "w30", "update")
+    assert out.select("batch").distinct().count() == 30 and _counts(replay.last_of(out, "start", "event_type")) == want
     assert _counts(flows.stream_windows(spark, str(tmp_path))) == want
 
 
