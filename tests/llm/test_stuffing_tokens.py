@@ -83,3 +83,48 @@ def test_json_tokenizers_agree_roughly():
         pytest.skip("no public tokenizer here")
     text = "The masked frame is released after the audit."
     assert tokens.counter(path)(text) == tokens.counter(tokens.DEFAULT_PATH)(text)
+
+
+def _notes(r, n):
+    """Words without sentences and hardly any repeats: an index, not stuffing."""
+    made = ["".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.randrange(2, 5))) for _ in range(n)]
+    return "\n".join(" ".join(made[i : i + 4]) for i in range(0, n, 4))
+
+
+def test_both_conditions_decide(spark):
+    """An index has no sentences but is not redundant, a list of like sentences is redundant but has sentences: neither alone makes a page stuffed."""
+    r = random.Random(3)
+    docs = [(i, _prose(r, r.randrange(6, 40)), "en") for i in range(120)]
+    index = {500 + i: _notes(r, 160) for i in range(4)}
+    alike = {600 + i: "The frame is masked before the audit. " * 30 for i in range(4)}
+    phrases = ("Our blur tool is the {} blur tool for blur tool buyers.", "Buy blur tool here, blur tool {}, because blur tool beats blur tool.", "Blur tool {}: blur tool and blur tool deal with blur tool.")
+    stuffed = {700 + i: " ".join(r.choice(phrases).format(r.choice(("best", "cheap", "free", "online"))) for _ in range(20)) for i in range(4)}
+    links = {800 + i: "\n".join(f"Cheap Card Sleeve - https://shop{r.randrange(99)}.example/x/{r.randrange(9999)}" for _ in range(30)) for i in range(4)}
+    docs += [(i, t, "en") for d in (index, alike, stuffed, links) for i, t in d.items()]
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING")
+    found = lambda **kw: {x.doc_id for x in stuffing.stuffed_pages(df, **kw).where("stuffed").collect()}
+    want = set(stuffed) | set(links)
+    assert found() == want
+    assert found(redundant_below=1e9) == want | set(index)
+    assert found(silent_below=1e9) == want | set(alike)
+    redundant = stuffing.judged_blocks(stuffing.blocks(df.where("doc_id < 500"))).selectExpr("avg(cast(redundancy < 0.8 as int))").first()[0]
+    assert redundant < 0.1  # of blocks of genuine pages
+
+
+def test_sentence_ends_and_languages():
+    assert stuffing.sentence_ends("The frame is masked. Why blur tool? Blur tool sale is cheap blur tool. It was sent to the audit!") == 2
+    assert stuffing.sentence_ends("画面を確認してから保存します。") == 1 and stuffing.sentence_ends("") == 0
+    assert [stuffing.language_of("plain", x) for x in ("en-US", "pt_BR", "english", "e", "12")] == ["en", "pt", "und", "und", "und"]
+    assert stuffing.compressed_size("") >= 0 and stuffing.compressed_size("blur tool " * 60) < stuffing.compressed_size(_notes(random.Random(1), 120)) / 3
+
+
+def test_many_languages_and_hot_ones(spark):
+    r = random.Random(5)
+    docs = [(i, _prose(r, 8), "en" if i % 3 else f"{chr(97 + i % 26)}{chr(97 + i % 7)}") for i in range(200)]
+    figures = stuffing.blocks(spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING"))
+    norms = stuffing.norms_of(figures)
+    assert norms.count() == norms.select("language", "band").distinct().count()
+    judged = stuffing.judged_blocks(figures)
+    assert judged.count() == figures.count() and judged.where("redundancy IS NULL OR silence IS NULL").count() == 0
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
