@@ -1,4 +1,9 @@
+import copy
+import os
+import sys
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +11,9 @@ from veilspark.functions.checks import verhoeff_ok
 from veilspark.llm import pii
 from veilspark.llm.crf import SkipChainCRF
 
+sys.path.insert(0, os.path.dirname(__file__))
+import pii_sentences  # noqa: E402
+
 PEOPLE = [("Ravi", "Oldenwick"), ("Greta", "Marlstead"), ("Tomas", "Fennard"), ("Noor", "Halbrook"), ("Imran", "Westcol"), ("Petra", "Lundale"), ("Viggo", "Harmont"), ("Meenal", "Dravik")]
 
 
@@ -94,3 +102,55 @@ def test_skip_links_share_labels(model):
     links = pii.skip_links(keys)
     assert len(links) == 2 and {keys[i] for pair in links for i in pair} <= {"Marlstead", "Marlstead's"}
     assert all(links[i][1] == links[i + 1][0] for i in range(len(links) - 1))  # a chain of occurrences, not all pairs
+
+
+def test_links_by_word_and_value():
+    link = lambda text: pii.skip_links(pii.tokens(text)[0], [text[a:b] for a, b in pii.tokens(text)[1]])
+    assert len(link("Ask Greta Sandoval, then sandoval again")) == 1  # any case, if one of them is capitalised
+    assert len(link("Bela Okonjo knows Okonjo-Stern")) == 1  # part of a double name
+    assert len(link("call +91 98765 43210 or 9876543210")) == 1 and len(link("Mail A.B@x.example or a.b@X.example")) == 1
+    assert link("open the page and open the list") == link("call 415 555 0133 or 415 555 0134") == link("") == []
+
+
+def test_links_decide(model):
+    """On texts the model has not seen, labels of linked tokens are right more often with the links, and some only with them."""
+    alone = copy.deepcopy(model)
+    alone.skip = np.zeros_like(model.skip)
+    composer = pii._Composer(PEOPLE, ["Open payment"], 77)
+    texts = [x for x in (composer.labelled(True) for _ in range(3000)) if x[2]]
+    keys, gold, links = zip(*texts)
+    ends = [(k, i) for k, ls in enumerate(links) for i in {i for pair in ls for i in pair}]
+    with_links, without = model.label(keys, links), alone.label(keys, links)
+    right = [sum(out[k][i] == gold[k][i] for k, i in ends) / len(ends) for out in (with_links, without)]
+    assert right[0] > right[1] + 0.04 and right[0] > 0.9
+    text = "We met Marlene Obuya yesterday near the river and Obuya asked for a copy"
+    spans = lambda m: [text[a:b] for _, a, b in pii.find_mentions(m, [text])[0]]
+    assert spans(model) == ["Marlene Obuya", "Obuya"] != spans(alone)
+
+
+def test_labels_do_not_depend_on_the_batch(model):
+    texts = ["Ask Greta Marlstead. Marlstead knows", "Payee: Noor Halbrook", "", "Call 415 555 0133 now, 4155550133 later", "Mr Westcol, Westcol's note and Imran Westcol " * 30, "x", "Tell Petra Lundale"] * 3
+    keys = [pii.tokens(t)[0] for t in texts]
+    links = [pii.skip_links(k) for k in keys]
+    together = model.label(keys, links)
+    for k, ls, got in zip(keys, links, together):
+        assert np.array_equal(got, model.label([k], [ls])[0])
+
+
+def test_odd_digits_brackets_and_accents(model):
+    texts = ["२३४५ ६७८९ ०१२३ note", "Ring me (+1 415-555-0133) soon", "x²³¹²³¹²³¹²³¹", "Señal móvil >"]
+    found = pii.find_mentions(model, texts)
+    assert [texts[1][a:b] for _, a, b in found[1]] == ["+1 415-555-0133"] and found[3] == []
+    assert pii.tokens("Zürich")[0] == ["Zürich"] and pii._mixed_key("AB" * 40) != pii._mixed_key("AB" * 39)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
+def test_sentences_outside_the_composer():
+    """The production model on sentences written by hand."""
+    people, ui = pd.read_parquet("/root/testdata/sf0.001/known_people.parquet"), pd.read_parquet("/root/testdata/sf0.001/ui_strings.parquet")
+    production = pii.train(list(zip(people.given_name, people.family_name)), list(ui.text))
+    for sentences in (pii_sentences.SEEN, pii_sentences.HELD_OUT):
+        got = [kinds(production, t) for t, _ in sentences]
+        wanted = [(k, g) for (_, want), g in zip(sentences, got) for k in want]
+        assert sum(k in g for k, g in wanted) / len(wanted) > 0.9
+        assert sum(len(g - want) for (_, want), g in zip(sentences, got)) / len(sentences) < 0.04

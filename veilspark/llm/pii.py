@@ -3,13 +3,18 @@
 Text is folded for reading only (full-width digits, invisible characters and
 look-alike letters), split into tokens, labelled by :class:`SkipChainCRF`, and
 runs of one label become mentions; an exact check (check digits, formats)
-may reject a mention, never add one. :func:`redact` splices placeholders such
-as ``[EMAIL]`` into the original text and leaves every other character as it is.
+may reject a mention, never add one. Words that come again, in any case, with
+a possessive or as part of a double name, and numbers and addresses of the same
+value are linked, however far apart, so that a clear mention labels an unclear
+one. :func:`redact_text` splices placeholders such as ``[EMAIL]`` into the
+original text and leaves every other character as it is.
 
 The model is trained at first use, in seconds and deterministically, on
 sentences composed from the patterns below with the names of ``known_people``
-and invented ones (``TRAINING_TEXTS`` sentences: the documented bound). It
-then goes to the executors with the task; every text is labelled in whole.
+and invented ones (``TRAINING_TEXTS`` sentences: the documented bound). A third
+of them are general: mentions among words drawn at random, so that the model
+does not depend on the wording around them. It then goes to the executors with
+the task; every text is labelled in whole.
 
 Defined results: null, empty and blank texts hold nothing and stay as they
 are; texts of any length are labelled as one sequence; a text repeated within a
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -33,7 +39,7 @@ from .crf import SkipChainCRF
 from .normalize import aligned_fold
 
 LABELS = ("O", "EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
-TRAINING_TEXTS = 9000
+TRAINING_TEXTS = 14_000
 MENTIONS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 
 # Every branch is linear in the text: runs are taken whole (possessively) or bounded by what a mail address allows.
@@ -47,22 +53,31 @@ _TOKEN = re.compile(
     r"|(?P<number>\+?\(?\d++\)?(?:(?:[ .-]{1,2}\(?|\(|(?<=\)))\d++\)?(?![^\W\d_]))*+)"
     r"|(?P<initial>[^\W\d_]\.)"
     r"|(?P<abbreviation>[A-Z][^\W\d_]{1,3}\.(?=\s?[,\w]))"
-    r"|(?P<word>[^\W\d_]++(?:['’-][^\W\d_]++)*+)"
+    r"|(?P<word>(?:[^\W\d_][\u0300-\u036f]*+)++(?:['’-](?:[^\W\d_][\u0300-\u036f]*+)++)*+)"
     r"|(?P<other>\S)"
 )
 _TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "shri", "smt", "sri", "herr", "frau", "señor", "señora", "sr", "sra", "don", "doña"}
 _DIGIT = re.compile(r"\d")
 
 
+_RUN = re.compile(r"([9Aa])\1*")
+
+
 @lru_cache(maxsize=100_000)
 def _mixed_key(token: str) -> str:
-    return "$" + "".join("9" if c.isdigit() else "A" if c.isupper() else "a" for c in token[:24])
+    """The shape of the whole token as runs: ``AB123`` is ``$A2.93.``."""
+    return "$" + _RUN.sub(lambda m: f"{m[1]}{len(m[0])}.", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" for c in token))
+
+
+def _digits(text: str) -> str:
+    """The decimal digits of a text, of whatever script, as ASCII."""
+    return "".join(c if c.isascii() else str(unicodedata.decimal(c)) for c in text if c.isdecimal())
 
 
 def _number_key(token: str) -> str:
     shape = _DIGIT.sub("9", token)
     digits = shape.count("9")
-    if digits == 12 and verhoeff_ok("".join(filter(str.isdigit, token))):
+    if digits == 12 and verhoeff_ok(_digits(token)):
         return "#v" + shape
     return "#" + (shape if digits <= 14 else f"long{min(digits, 21)}")
 
@@ -76,7 +91,7 @@ def tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     for m in _TOKEN.finditer(text):
         kind, t = m.lastgroup, m[0]
         if kind in _SPELLED:
-            keys.append(t)
+            keys.append(t if t.isascii() else unicodedata.normalize("NFC", t))
         elif kind == "number":
             keys.append(_number_key(t))
         elif kind == "mixed":
@@ -87,16 +102,48 @@ def tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return keys, at
 
 
-def skip_links(keys: Sequence[str]) -> list[tuple[int, int]]:
-    """Each repeated capitalised word (a possessive counts as its word) linked to its last occurrence."""
+_COMMON = {"the", "this", "that", "and", "for", "you", "your", "our", "not", "was", "with", "from", "when", "der", "die", "das", "und", "los", "las", "una"}
+
+
+def skip_links(keys: Sequence[str], values: Sequence[str] | None = None) -> list[tuple[int, int]]:
+    """Each token that repeats an earlier one, or is like it, linked to its last occurrence.
+
+    Words: the same in any case, with or without a possessive, or a part of a
+    double name; at least one of the two is capitalised. With ``values`` (the
+    tokens' own text) also numbers that end alike (seven digits, or all of
+    fewer), codes and mail addresses of one value.
+    """
     last: dict[str, int] = {}
     out = []
     for i, k in enumerate(keys):
-        if len(k) > 2 and k[0].isupper():
-            stem = k.lower().removesuffix("'s").removesuffix("’s")
-            if stem in last:
-                out.append((last[stem], i))
-            last[stem] = i
+        c = k[0]
+        if c.isalpha():
+            if len(k) < 3:
+                continue
+            stem = k.lower()
+            if "'" in k or "’" in k:
+                stem = stem.removesuffix("'s").removesuffix("’s")
+            if stem in _COMMON:
+                continue
+            parts = [stem, *(p for p in stem.split("-") if len(p) > 3)] if "-" in stem else [stem]
+            if c.isupper():
+                before = [last[p] for p in parts if p in last]
+                for p in parts:
+                    last[p] = i
+            elif len(k) > 3 and stem in last:
+                before, last[stem] = [last[stem]], i
+            else:
+                continue
+        elif values is None or c not in "#$<":
+            continue
+        else:
+            v = values[i]
+            ident = (_digits(v)[-7:] if c == "#" else v.upper())
+            if len(ident) < 5:
+                continue
+            before, last[c + ident] = ([last[c + ident]] if c + ident in last else []), i
+        if before:
+            out.append((max(before), i))
     return out
 
 
@@ -111,7 +158,7 @@ class _Features:
             digits = key.count("9")
             return ["number", f"n={key}", f"nd={digits}", *(["checked"] if key[1] == "v" else []), *(["plus"] if "+" in key else []), *(["paren"] if "(" in key else []), f"ng={'-'.join(str(len(g)) for g in re.findall('9+', key))}"]
         if key[0] == "$":
-            return ["mixed", f"m={key}", f"ml={min(len(key), 12)}"]
+            return ["mixed", f"m={key}", f"ml={min(1 + sum(int(r[1:]) for r in key[1:].split('.') if r), 12)}"]
         if key[0] == "<":
             return [key]
         if not key[0].isalpha():
@@ -311,6 +358,122 @@ Close {thing}
 {ui}
 {Ui} ({n1})
 {Ui} now""".split("\n")
+#: Mentions among words of any kind: {x} is a run of words drawn at random, {X} one that begins a sentence.
+_GENERAL = """{x} {email} {x}
+{X} {email}
+{email} {x}
+{X} {email}, {x}
+{X} ({email}) {x}
+{X}: {email}.
+{X} {phone} {x}
+{X} ({phone}) {x}
+{X} {phone}.
+{phone} {x}
+{X} {phone}, {x}
+{X} {id} {x}
+{X} {id}.
+{X} {id}, {x}
+{X} ({id})
+{x} {addr}
+{X} {addr}.
+{X} {addr} {x}
+{X} {addr}, {x}
+{X} {full} {x}
+{X} {full} {x}
+{X} {full}.
+{X} {full}, {x}
+{x} {full} {x}
+{full} {x}
+{full} {x}
+{full}, {x}
+{X} {full} {x} {phone}
+{X} {full} ({email}) {x}
+{X} {full} {x} {email}, {x}
+{X} {full} {x} {id}.
+{X} {full} {x} {addr}.
+{full}, {addr}
+{full}, {addr}
+{full}, {addr}
+{name}, {addr}
+{full}
+{full}
+{full}
+{X} {full} {x}
+{X} {full} {x}
+{x} {full} {x}, {x}
+{X} {full}, {x}
+{X} {full} {x}. {X}
+{X} {addr0} {x}
+{X} {addr0}, {x}
+{X} {addr0}.
+{full} and {name} {x}
+{X} {full} and {full} {x}
+{X}. {full} {x}. {X}
+{full} {said} {x}
+{f1} {said} {x} {full} {x}
+{X} {full} {x}. {f1} {said} {x}
+{X} {full} {x} and {f1} {said} {x}
+{X} {full} {x}. {X} {g1} {x}
+{X} {full} {x} {f1}'s {x}
+{g1} {said} {x}; {X} {full} {x}
+{X} {full} {x}, {x} {f1}
+Dear {full}, {x}
+Hi {g1}, {x} {full}
+Kind regards, {full}
+My name is {full} {x}
+I am {full} {x}
+{X} my neighbour {full} {x} {phone}.
+{X} by {full} {x}
+{X} from {full} {x}
+Mein Name ist {full} {x}
+Frau {full} {x}
+Herr {f} {x}
+{X} mit {full} {x}
+Me llamo {full} {x}
+{X} con {full} {x}
+{X} señora {full} {x}
+{X} {phone1} {x}. {X} {phone1} {x}
+{X} {email1}, {x}. {X} {email1}
+{X} {id1} {x}; {x} {id1}
+{X} {n3} {x}
+{X} {n5}, {x}
+{X} order {n12} {x}
+{X} order no. {n16} {x}
+{X} reference {v12}.
+{X} reference REF-{n4}-{n3} {x}
+{X} version {n1}.{n2}.{n3} {x}
+{X} build {n4} {x}
+{X} {n2},{n3} {x}
+{X} @{handle} {x}
+{X} in {place} {x}
+{X} near {place} {x}
+{X} to {place}, {x}
+{X} at {place} {org} {x}
+The {place} {org} {x}
+{X} the {place} {org} {x}
+{X} on {day} {x}
+{X} in {month} {x}
+{X} since {month} {n4}
+{X} {day} and {day} {x}
+{X} "{Thing}" {x}
+{X} the {Thing} {x}
+{X} the {Act} button {x}
+{X} {Act} {Thing} {x}
+Der {Noun} {x} die {Noun} {x}
+Die {Noun} {x} {Noun} {x}
+{X} das {Noun} {x}
+{X}. {X}. {X}
+{X}, {x}? {X}
+{X} {x} {x}
+{CAPS}
+{CAPS}
+{CAPS}, {x}""".split("\n")
+_WORDS = "a about after again all also always an and any are as asked at back be because been before but by call came can copy could day did do down each email even every few find first for form from gave get go had has have he help her here him his how i if in into is it its just keep know last later left letter like line long look made make man many may me meet met more most much must my near need new next no not note now number of off old on once one only open or other our out over page paid part people place please reach read reply river said same saw see send sent she should show sign since so some still such take talk than that the their them then there these they thing this those through time to today told too two under until up use used very wait want was way we week well went were what when where which while who why will with work would write year yes yesterday you your".split()
+_WORDS_OTHER = "der die das und ist ich wir ein eine zu mit von auf für nicht bitte heute wohne el la los las que y es un una por para con su mi favor hoy vivo gracias ke hai aur".split()
+_SAID = "said asked called wrote knows agreed answered signed replied paid left thinks wants has was is will may".split()
+_DAYS, _MONTHS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split(), "January February March April May June July August September October November December".split()
+_ORGS = "Bank,Hotel,University,Museum,Insurance,Hospital,School,Station,Airport,Group,Ltd,Inc.,GmbH,Council,Times,Park,Bridge,Library,Court".split(",")
+_NOUNS = "Rechnung Brief Antrag Vorgang Seite Nummer Straße Woche Frage Antwort Konto Karte Termin Bericht Haus Tag Name Adresse Kunde Stadt".split()
 _ACTS = "open close save submit review confirm cancel update print share download archive approve remove verify resume export retry expand continue refresh edit view send show hide copy reset search select click check".split()
 _THINGS = "address book,account access,claim form,transfer limit,profile card,final report,capture frame,payment,statement,office file,face proxy,mask settings,consent record,overlay switch,device list,limit panel,verification form,billing cycle,session banner,mask preview,field legend,audit trail,receipt list,privacy summary,frame viewer,transfer queue,plan chooser,notice board,upload box,download tray,claims table,status board,main menu,help page,street map,order history,contact sheet,name field".split(",")
 _VERBS = "reviewed checked masked updated loaded synced saved closed printed".split()
@@ -328,6 +491,8 @@ class _Composer:
         self.r, self.people, self.ui = random.Random(seed), people or [("Mara", "Oldwin")], ui or ["Open menu"]
         self.ends = sorted({f[-4:].lower() for _, f in self.people if len(f) > 5})
         self.starts = sorted({f[:4].lower() for _, f in self.people if len(f) > 5})
+        self.loose = False
+        self.plain = [w for t in (*_THINGS, *_VERBS, *_ACTS) for w in t.split()]
 
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
@@ -346,10 +511,12 @@ class _Composer:
         return self.r.choice(self.people)[1] if self.r.random() < 0.4 else self.invented()
 
     def given(self) -> str:
-        return self.r.choice(self.people)[0] if self.r.random() < 0.6 else self.syllables(self.r.choice((2, 2, 3))).title()
+        return self.r.choice(self.people)[0] if self.r.random() < (0.3 if self.loose else 0.6) else self.syllables(self.r.choice((1, 2, 2, 3))).title()
 
     def family(self) -> str:
-        return self.r.choice(self.people)[1] if self.r.random() < 0.5 else self.invented()
+        if self.r.random() < (0.2 if self.loose else 0.5):
+            return self.r.choice(self.people)[1]
+        return self.syllables(self.r.choice((1, 2, 2, 3))).title() if self.loose and self.r.random() < 0.8 else self.invented()
 
     def number(self, code: str) -> str:
         r = self.r
@@ -386,6 +553,13 @@ class _Composer:
             return f"{local} [at] {host.replace('.', ' [dot] ')}"
         return f"{local}(at){host}" if x < 0.2 else f"{local}@{host}".upper() if x < 0.3 else f"{local}@{host}"
 
+    def words(self, start: bool = False) -> str:
+        """One to six words: common ones, those of the interface and made-up ones."""
+        r = self.r
+        pick = lambda: r.choice(_WORDS) if r.random() < 0.55 else r.choice(_WORDS_OTHER) if r.random() < 0.2 else r.choice(self.plain) if r.random() < 0.4 else self.syllables(r.choice((2, 2, 3)))
+        text = " ".join(pick() for _ in range(r.choice((1, 1, 2, 2, 3, 4, 6))))
+        return text[:1].upper() + text[1:] if start else text
+
     def fill(self, pattern: str) -> str:
         return re.sub(r"\{([^}]+)\}", lambda m: self.slot(m[1]), pattern)
 
@@ -398,6 +572,13 @@ class _Composer:
         if s == "street":
             return self.fill(r.choice(_STREETS.split("|")))
         word = {"w": self.place, "w_": self.place, "place": self.place, "letter": lambda: r.choice("ABCD"), "g": self.given, "f": self.family, "i": lambda: r.choice("ABCDEGHIJKLMNPRSTUVXYZ"), "t": lambda: r.choice(("Mr", "Mrs", "Ms", "Dr.", "Mrs.", "Mr.", "Shri", "Smt.", "Prof.")), "handle": lambda: self.invented().lower(), "verb": lambda: r.choice(_VERBS), "act": lambda: r.choice(_ACTS), "thing": lambda: r.choice(_THINGS), "ui": lambda: r.choice(self.ui), "typo": self.typo}
+        if s in ("x", "X"):
+            return self.words(s == "X")
+        if s == "CAPS":
+            return self.words().upper()
+        listed = {"said": _SAID, "day": _DAYS, "month": _MONTHS, "org": _ORGS, "Noun": _NOUNS}
+        if s in listed:
+            return r.choice(listed[s])
         if s.lower() in word:
             text = word[s.lower()]()
             return text.lower() if s == "ui" else text if s in word or s == "Ui" else text.upper() if s.isupper() and len(s) > 1 or s in "GF" else text[:1].upper() + text[1:]
@@ -413,12 +594,13 @@ class _Composer:
         if s in ("name", "full"):
             pattern = r.choice(_NAMES if s == "name" else _NAMES[:-2])
             return "NAME", self.fill(pattern)
-        make = {"email": ("EMAIL", self.email), "phone": ("PHONE", lambda: self.fill(r.choice(_PHONES))), "id": ("ID_NUMBER", lambda: self.fill(r.choice(_IDS))), "addr": ("ADDRESS", lambda: self.fill(r.choice(_ADDRESSES)))}
+        make = {"email": ("EMAIL", self.email), "phone": ("PHONE", lambda: self.fill(r.choice(_PHONES))), "id": ("ID_NUMBER", lambda: self.fill(r.choice(_IDS))), "addr": ("ADDRESS", lambda: self.fill(r.choice(_ADDRESSES))), "addr0": ("ADDRESS", lambda: self.fill(r.choice(("{n3} {street}, {place}", "{n2} {street}, {place}", "{n2} {street}"))))}
         return (make[s][0], make[s][1]()) if s in make else None
 
-    def sentence(self) -> tuple[str, list[tuple[str, int, int]]]:
-        pattern = self.r.choice(_SENTENCES)
-        text, spans, people = "", [], {}
+    def sentence(self, general: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+        self.loose = general  # people of any name
+        pattern = self.r.choice(_GENERAL if general else _SENTENCES)
+        text, spans, people, again = "", [], {}, {}
         for lit, s in re.findall(r"([^{]*)(?:\{([^}]+)\})?", pattern):
             text += lit
             if not s:
@@ -427,8 +609,10 @@ class _Composer:
                 first = people.setdefault("p", (self.given(), self.family()))
                 found = "NAME", first[s == "f1"]
             elif s == "full" and ("{g1}" in pattern or "{f1}" in pattern):
-                people["p"] = (self.given(), self.family())
+                people.setdefault("p", (self.given(), self.family()))
                 found = "NAME", " ".join(people["p"])
+            elif s in ("phone1", "email1", "id1"):
+                found = again[s] = again.get(s) or self.mention(s[:-1])
             else:
                 found = self.mention(s)
             part = found[1] if found else self.slot(s)
@@ -437,6 +621,14 @@ class _Composer:
             text += part
         return text, spans
 
+    def labelled(self, general: bool) -> tuple[list[str], list[int], list[tuple[int, int]]]:
+        """Keys, label numbers and links of a composed text."""
+        text, spans = self.sentence(general)
+        folded, _ = aligned_fold(text)
+        keys, at = tokens(folded := folded if len(folded) == len(text) else text)
+        labels = [next((LABELS.index(kind) for kind, a, b in spans if a < stop and start < b), 0) for start, stop in at]
+        return keys, labels, skip_links(keys, [folded[a:b] for a, b in at])
+
 
 _MODELS: dict[tuple, SkipChainCRF] = {}
 
@@ -450,15 +642,13 @@ def train(people: Sequence[tuple[str, str]], ui: Sequence[str] = (), texts: int
         # only half of the people count as known while training, so that the model also learns from context
         half = people[::2]
         features = _Features(frozenset(g.lower() for g, _ in half), frozenset(f.lower() for _, f in half))
-        keys, labels, links = [], [], []
-        for _ in range(texts):
-            text, spans = composer.sentence()
-            folded, _ = aligned_fold(text)
-            k, at = tokens(folded if len(folded) == len(text) else text)
-            keys.append(k)
-            labels.append([next((LABELS.index(kind) for kind, a, b in spans if a < stop and start < b), 0) for start, stop in at])
-            links.append(skip_links(k))
+        keys, labels, links = zip(*(composer.labelled(i % 14 >= 9) for i in range(texts)))
         model = SkipChainCRF(LABELS, features).fit(keys, labels, links)
+        # what links are worth shows on texts that the chain has not seen
+        fresh = _Composer(people, ui, seed + 1)
+        linked = [x for x in (fresh.labelled(True) for _ in range(texts // 4)) if x[2]]
+        if linked:
+            model.fit_skip(*zip(*linked))
         model.features = _Features(frozenset(g.lower() for g, _ in people), frozenset(f.lower() for _, f in people))
         _MODELS[memo] = model
     return _MODELS[memo]
@@ -467,13 +657,16 @@ def train(people: Sequence[tuple[str, str]], ui: Sequence[str] = (), texts: int
 # ------------------------------------------------------------------ mentions
 
 _ID_FORMATS = re.compile(r"(?<!\w)(?:[A-Za-z]{5}\d{4}[A-Za-z]|\d{3}([ -])\d{2}\1\d{4}|[A-Za-z]\d{7})(?!\w)")
+_AT = re.compile(r"[^\W_]\s?(?:@|[\[(]\s?at\s?[\])])\s?[^\W_]")
 _TWELVE = re.compile(r"(?<!\d)(?:\d{12}|\d{4}([ -])\d{4}\1\d{4})(?!\d)")
 
 
 def _holds(kind: str, text: str) -> bool:
     """The exact check of a mention's text."""
     if kind == "ID_NUMBER":
-        return bool(_ID_FORMATS.search(text)) or any(verhoeff_ok(re.sub(r"\D", "", m[0])) for m in _TWELVE.finditer(text))
+        return bool(_ID_FORMATS.search(text)) or any(verhoeff_ok(_digits(m[0])) for m in _TWELVE.finditer(text))
+    if kind == "EMAIL":
+        return bool(_AT.search(text))
     if kind == "PHONE":
         return 7 <= sum(map(str.isdigit, text)) <= 15
     if kind == "ADDRESS":
@@ -483,6 +676,16 @@ def _holds(kind: str, text: str) -> bool:
     return True
 
 
+def _without_loose_bracket(text: str, kind: str, start: int, stop: int) -> tuple[str, int, int]:
+    """A bracket that the mention opens or closes alone belongs to the sentence."""
+    inner = text[start:stop]
+    if inner.endswith(")") and inner.count(")") > inner.count("("):
+        stop -= 1
+    if inner.startswith("(") and inner.count("(") > inner.count(")"):
+        start += 1
+    return kind, start, stop
+
+
 def find_mentions(model: SkipChainCRF, texts: Sequence[str | None]) -> list[list[tuple[str, int, int]]]:
     """(kind, start, stop) of each text's mentions, in places of the text as recorded."""
     distinct = list(dict.fromkeys(t for t in texts if t))
@@ -491,7 +694,7 @@ def find_mentions(model: SkipChainCRF, texts: Sequence[str | None]) -> list[list
         folded, places = aligned_fold(t)
         keys, at = tokens(folded)
         read.append((folded, places, keys, at))
-    best = model.label([x[2] for x in read], [skip_links(x[2]) for x in read])
+    best = model.label([x[2] for x in read], [skip_links(keys, [folded[a:b] for a, b in at]) for folded, _, keys, at in read])
     found: dict[str, list[tuple[str, int, int]]] = {}
     for t, (folded, places, _, at), labels in zip(distinct, read, best):
         if not labels.any():
@@ -504,7 +707,7 @@ def find_mentions(model: SkipChainCRF, texts: Sequence[str | None]) -> list[list
             elif k:
                 out.append([LABELS[k], start, stop])
             previous = k
-        kept = [(kind, a, b) for kind, a, b in out if _holds(kind, folded[a:b])]
+        kept = [(kind, a, b) for kind, a, b in (_without_loose_bracket(folded, *m) for m in out) if _holds(kind, folded[a:b])]
         found[t] = [(kind, places[a], places[b - 1] + 1) for kind, a, b in kept] if places else kept
     model.trim()
     return [found.get(t, []) if t else [] for t in texts]
