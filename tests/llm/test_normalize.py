@@ -60,3 +60,32 @@ def test_lookalikes_equal_brute_force(spark, rows):
 def test_columns(spark, rows):
     t = spark.createDataFrame([("Ａb",), ("plain",), (None,), ("",)], "text STRING")
     assert [tuple(r) for r in t.select(N.canonical_text(t.text), N.skeleton_text(t.text)).collect()] == [("Ab", "Ab"), ("plain", "plain"), (None, None), ("", "")]
+
+
+@pytest.mark.parametrize("text", ["Отправьте SMS через API на HTTP порт", "CPU по HTTP — Wi-Fi, COM, TCP, POST", "Το SMS και PIN", "Удалить маску now", "Оплатить счёт again", "Νέα αίτηση again", "роса на траве", "Удалить mаску", "这是 API 测试"])
+def test_canonical_leaves_genuine_words(text):
+    assert N.canonical(text) == text
+
+
+@pytest.mark.parametrize("text, plain", [("сору", "copy"), ("the сору button", "the copy button"), ("Оpen nоw", "Open now"), ("Ρassword again", "Password again"), ("Прoвеpка PC", "Проверка PC")])
+def test_canonical_respells_look_alikes(text, plain):
+    assert N.canonical(text) == plain
+
+
+@given(st.text(alphabet="aopce Аорсеѕнт Αορϲκ Աոսօ -", max_size=40))
+def test_no_word_becomes_mixed(text):
+    mixed = lambda t: {w for w in N._WORD.findall(t) if len(N._alphabets(w)) > 1}
+    assert mixed(N.canonical(text)) <= mixed(N._splice(text, False))
+
+
+def test_segments_are_short():
+    """Only what is unstable, and the starter before it, is normalised, in any script."""
+    assert N._segments(True).findall("这是一个测试Ａ句子é́。") == ["试Ａ", "é́"]
+    assert N._segments(True).findall("यह एक वाक्य") == ["वा", "क्"] and N._segments(True).findall("यह Ａ") == [" Ａ"]
+    assert N._segments(True).findall("这是一个测试句子") == N._segments(False).findall("Проверка данных") == []
+    assert N.skeleton("한") == "한" and N.skeleton("각") == "각"
+
+
+def test_characters_outside_the_checked_ranges_are_stable():
+    outside = [c for c in (*range(0x80, 0xD800, 3), *range(0xE000, 0x110000, 11)) if not any(a <= c <= b for a, b in N._CHECKED)]
+    assert all(N.quick_check.__wrapped__(chr(c)) == N.quick_check.__wrapped__(chr(c), False) == "yes" for c in outside)

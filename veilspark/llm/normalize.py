@@ -2,10 +2,12 @@
 
 Each character has a quick-check property: *yes* (it stands in the canonical
 form and combines with nothing), *maybe* (a mark that may combine with what
-precedes it) or *no* (it has another form). Texts are split at characters that
-are *yes*; only the unstable segments, each with the starter before it as
-boundary context, are normalised (and memoised), then spliced into the
-unchanged text. ASCII text is stable as a whole and never leaves the JVM.
+precedes it) or *no* (it has another form). The characters that are not *yes*
+make up one character class, computed once per process; runs of them, each with
+the one starter before it as boundary context, are the unstable segments. Only
+these are normalised (and memoised), then spliced into the unchanged text,
+which is never touched where it is *yes*, whatever its alphabet. ASCII text is
+stable as a whole and never leaves the JVM.
 
 Folded: invisible characters go; spaces of any kind become a space and hyphens
 of the same look a hyphen; width, font and ligature forms become plain letters
@@ -15,6 +17,11 @@ are drawn alike become the letters of the word's own alphabet
 (:func:`canonical`) or of one alphabet for comparison (:func:`skeleton`).
 Case, visible accents, punctuation and the number of signs stay.
 
+:func:`canonical` respells words of mixed alphabets only, and those that are
+made of look-alikes altogether in a text of another alphabet. A word of ASCII
+letters and one that is whole in the text's alphabet stay as they are, and no
+word becomes mixed: what no one alphabet can spell stays as it was.
+
 Defined results: null stays null; empty text stays empty; lone surrogates and
 unassigned code points stay; texts of any length take one pass.
 """
@@ -47,6 +54,7 @@ _BLANK = {chr(c) for r in ((0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
 _KEPT_TAGS = {"<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<vertical>"}
 
 _TO_LATIN = {pair[0]: pair[1] for pairs in _DRAWN_ALIKE.values() for pair in pairs.split()}
+_LATIN_VARIANTS = {pair[0] for pair in _DRAWN_ALIKE["LATIN"].split()}
 _FROM_LATIN = {script: {p[1]: p[0] for p in reversed(pairs.split())} for script, pairs in _DRAWN_ALIKE.items() if script in ("CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "LISU", "COPTIC")}
 
 
@@ -78,16 +86,32 @@ def _latin(ch: str) -> str:
 
 
 @lru_cache(maxsize=65536)
-def quick_check(ch: str) -> str:
-    """``yes``, ``maybe`` or ``no``."""
+def quick_check(ch: str, latin: bool = True) -> str:
+    """``yes``, ``maybe`` or ``no``, for :func:`skeleton` or (``latin=False``) for the plain form."""
     if ch < "\x7f":
         return "yes"
-    if unicodedata.combining(ch) or unicodedata.category(ch) in ("Mn", "Mc", "Me") or not unicodedata.is_normalized("NFC", "a" + ch):
+    joins = "\u1161" <= ch <= "\u1175" or "\u11a8" <= ch <= "\u11c2"  # vowels and finals of Hangul syllables
+    if joins or unicodedata.combining(ch) or unicodedata.category(ch) in ("Mn", "Mc", "Me") or not unicodedata.is_normalized("NFC", "a" + ch):
         return "no" if not plain_form(ch) else "maybe"
-    return "yes" if unicodedata.normalize("NFC", _latin(ch)) == ch else "no"
+    return "yes" if unicodedata.normalize("NFC", (_latin if latin else plain_form)(ch)) == ch else "no"
+
+
+#: Code points outside of these are *yes*: they have no other form (a test goes through all of them).
+_CHECKED = ((0x7F, 0x33FF), (0xA000, 0xABFF), (0xD7B0, 0xD7FF), (0xF900, 0x1FFFF), (0x2F800, 0x2FA1F), (0xE0000, 0xE01EF))
 
 
-_UNSTABLE = re.compile(r"[\x20-\x7e]?[^\x00-\x7e]+")  # with the starter before it
+@lru_cache(maxsize=2)
+def _segments(latin: bool) -> re.Pattern:
+    """A starter, if there is one, and the run of characters after it that are not *yes*."""
+    unstable = [c for a, b in _CHECKED for c in range(a, b + 1) if quick_check.__wrapped__(chr(c), latin) != "yes"]
+    runs: list[list[int]] = []
+    for c in unstable:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    members = "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+    return re.compile(f"[^{members}]?[{members}]+")
 
 
 @lru_cache(maxsize=65536)
@@ -96,13 +120,11 @@ def _short_segment(segment: str, latin: bool) -> str:
 
 
 def _long_segment(segment: str, latin: bool) -> str:
-    if all(quick_check(c) == "yes" for c in segment):
-        return segment
     return unicodedata.normalize("NFC", "".join(map(_latin if latin else plain_form, segment)))
 
 
 def _splice(text: str, latin: bool) -> str:
-    return text if text.isascii() else _UNSTABLE.sub(lambda m: (_short_segment if m.end() - m.start() <= 64 else _long_segment)(m[0], latin), text)
+    return text if text.isascii() else _segments(latin).sub(lambda m: (_short_segment if m.end() - m.start() <= 64 else _long_segment)(m[0], latin), text)
 
 
 def skeleton(text: str | None) -> str | None:
@@ -132,12 +154,33 @@ def _alphabet(word: str) -> str:
     return max(found, key=found.get) if found else ""
 
 
+@lru_cache(maxsize=65536)
+def _letters_of(ch: str) -> str:
+    """The alphabet a character belongs to by its name; ``""`` for marks."""
+    return unicodedata.name(unicodedata.normalize("NFD", ch)[0], "").split(" ")[0] if ch.isalpha() else ""
+
+
+def _alphabets(word: str) -> set[str]:
+    return {s for ch in word if (s := _letters_of(ch))}
+
+
 def _respell(word: str, alphabet: str) -> str:
     twins = _FROM_LATIN.get(alphabet)
     latin = "".join(_TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", word))
     return unicodedata.normalize("NFC", "".join(twins.get(c, c) for c in latin) if twins else latin)
 
 
+def _spelled(word: str, whole: str, latin_beside: bool) -> str:
+    """A word in one alphabet: its own, the text's or Latin, the first that can spell all of it."""
+    own, found = _alphabet(word), _alphabets(word)
+    if len(found) < 2 and (own or whole in found or not whole and latin_beside) and not any(c in _LATIN_VARIANTS for c in word):
+        return word
+    for alphabet in (own, whole, "LATIN"):
+        if alphabet and _alphabets(out := _respell(word, alphabet)) <= {alphabet}:
+            return out
+    return word
+
+
 def canonical(text: str | None) -> str | None:
     """The consistent form: plain, composed, every word in its own alphabet (in doubt the text's, then Latin)."""
     if text is None or text.isascii():
@@ -146,7 +189,8 @@ def canonical(text: str | None) -> str | None:
     if plain.isascii():
         return plain
     whole = _alphabet(plain)
-    return _WORD.sub(lambda m: m[0] if m[0].isascii() and whole in ("", "LATIN") else _respell(m[0], _alphabet(m[0]) or whole), plain)
+    latin_beside = not whole and any(w.isascii() for w in _WORD.findall(plain))  # nothing tells which of the words are not what they seem
+    return _WORD.sub(lambda m: m[0] if m[0].isascii() else _spelled(m[0], whole, latin_beside), plain)
 
 
 def aligned_fold(text: str) -> tuple[str, list[int] | None]:
