@@ -84,9 +84,9 @@ def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, dp_tok
             n = min(int(counts[i] - take[i]), -(-(left - dp_tokens) // int(lengths[i])), left // int(lengths[i]))
             take[i] += max(0, n)
             left -= max(0, n) * int(lengths[i])
-    if left <= 4 * dp_tokens:
-        take += subset_sum(lengths, np.where(use, counts - take, 0), left)
-    return take
+    # what is left is small, or smaller than every document that is left: then no sum is tried
+    rest = np.where(use & (lengths <= left), counts - take, 0)
+    return take + subset_sum(lengths, rest, left) if rest.any() else take
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0, dp_tokens: int = DP_TOKENS) -> np.ndarray:
