@@ -355,6 +355,9 @@ Close {thing}
 {Ui}
 {Ui}
 {UI}
+{UI}
+{UI}
+{UI}
 {ui}
 {Ui} ({n1})
 {Ui} now""".split("\n")
@@ -467,6 +470,8 @@ Die {Noun} {x} {Noun} {x}
 {X} {x} {x}
 {CAPS}
 {CAPS}
+{UI}
+{UI}
 {CAPS}, {x}""".split("\n")
 _WORDS = "a about after again all also always an and any are as asked at back be because been before but by call came can copy could day did do down each email even every few find first for form from gave get go had has have he help her here him his how i if in into is it its just keep know last later left letter like line long look made make man many may me meet met more most much must my near need new next no not note now number of off old on once one only open or other our out over page paid part people place please reach read reply river said same saw see send sent she should show sign since so some still such take talk than that the their them then there these they thing this those through time to today told too two under until up use used very wait want was way we week well went were what when where which while who why will with work would write year yes yesterday you your".split()
 _WORDS_OTHER = "der die das und ist ich wir ein eine zu mit von auf für nicht bitte heute wohne el la los las que y es un una por para con su mi favor hoy vivo gracias ke hai aur".split()
@@ -623,7 +628,9 @@ class _Composer:
 
     def labelled(self, general: bool) -> tuple[list[str], list[int], list[tuple[int, int]]]:
         """Keys, label numbers and links of a composed text."""
-        text, spans = self.sentence(general)
+        return self.read(*self.sentence(general))
+
+    def read(self, text: str, spans: Sequence[tuple[str, int, int]] = ()) -> tuple[list[str], list[int], list[tuple[int, int]]]:
         folded, _ = aligned_fold(text)
         keys, at = tokens(folded := folded if len(folded) == len(text) else text)
         labels = [next((LABELS.index(kind) for kind, a, b in spans if a < stop and start < b), 0) for start, stop in at]
@@ -642,7 +649,10 @@ def train(people: Sequence[tuple[str, str]], ui: Sequence[str] = (), texts: int
         # only half of the people count as known while training, so that the model also learns from context
         half = people[::2]
         features = _Features(frozenset(g.lower() for g, _ in half), frozenset(f.lower() for _, f in half))
-        keys, labels, links = zip(*(composer.labelled(i % 14 >= 9) for i in range(texts)))
+        # every interface text in each case, as far as a tenth of the texts allows
+        shown = ui if 30 * len(ui) <= texts else random.Random(seed).sample(ui, texts // 30)
+        plain = [composer.read(u) for x in shown for u in (x, x.upper(), x.lower())]
+        keys, labels, links = zip(*plain, *(composer.labelled(i % 14 >= 9) for i in range(texts - len(plain))))
         model = SkipChainCRF(LABELS, features).fit(keys, labels, links)
         # what links are worth shows on texts that the chain has not seen
         fresh = _Composer(people, ui, seed + 1)
