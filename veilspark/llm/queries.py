@@ -1,4 +1,4 @@
-"""Queries of the text operators (p4 to p8)."""
+"""Queries of the operators for language-model data (p3 to p8)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import table
 from ..session import materialise, spread
-from . import mixing, normalize, packing, pii, stuffing, tokens
+from . import frequency, mixing, normalize, packing, pii, stuffing, tokens
 
 
 def element_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,20 @@ def element_texts(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(r.select(F.lit("dom_element").alias("record_kind"), F.col("request_id").alias("record_id"), "elem_ord", "text"))
 
 
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    requests = table(spark, d, "requests")
+    total = requests.agg(F.countDistinct("request_id").alias("n")).scalar()
+    return frequency.mark_terms(frequency.term_frequencies(frequency.request_terms(requests)), total)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(spark, d).where("verdict <> 'useful'").select("field_name", "term", "verdict")
+
+
+def p3_term_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(spark, d)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return normalize.lookalikes(element_texts(spark, d), table(spark, d, "ui_strings")).select("record_kind", "record_id", "elem_ord", "string_id").distinct()
 
@@ -94,5 +108,16 @@ def p8_pages(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(spread(table(spark, d, "documents").select("doc_id", "text", "lang")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_canonical_texts, p5_found, p5_redacted, p6_found, p6_places, p6_fill, p7_found, p7_uses, p7_shares, p8_found, p8_pages)}
-SQL: dict[str, str] = {}
+_TERMS = """WITH r AS (SELECT DISTINCT request_id, dom_elements, redaction_manifest FROM requests),
+m AS (SELECT request_id, unnest(redaction_manifest) AS e, unnest(range(len(redaction_manifest))) AS pos FROM r),
+el AS (SELECT request_id, unnest(dom_elements) AS e, unnest(range(len(dom_elements))) AS pos FROM r),
+t AS (SELECT DISTINCT 'label' AS field_name, e.label AS term, request_id, pos FROM m UNION ALL SELECT DISTINCT 'source', e.source, request_id, pos FROM m UNION ALL SELECT DISTINCT 'tag', e.tag, request_id, pos FROM el),
+c AS (SELECT field_name, term, CAST(count(*) AS BIGINT) AS occurrences, CAST(count(DISTINCT request_id) AS BIGINT) AS records FROM t WHERE term IS NOT NULL GROUP BY ALL),
+v AS (SELECT *, CASE WHEN records < 5 THEN 'rare' WHEN records > 0.5 * (SELECT count(DISTINCT request_id) FROM requests) THEN 'common' ELSE 'useful' END AS verdict FROM c)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_term_counts, p4_found, p4_canonical_texts, p5_found, p5_redacted, p6_found, p6_places, p6_fill, p7_found, p7_uses, p7_shares, p8_found, p8_pages)}
+SQL: dict[str, str] = {
+    "p3_found": _TERMS + "SELECT field_name, term, verdict FROM v WHERE verdict <> 'useful'",
+    "p3_term_counts": _TERMS + "SELECT * FROM v",
+}
