@@ -1,4 +1,4 @@
-"""Queries of the core training-data operators (p1 to p3)."""
+"""Queries of the core training-data operators (p1 and p2)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import frequency, measures, nested
+from ..operators import measures, nested
 from ..session import shared_dir, spread
 from .tables import table
 
@@ -58,35 +58,11 @@ def p2_request_links(spark: SparkSession, d: str) -> DataFrame:
     return nested.distinct_nodes(nested.flatten_arrays(table(spark, d, "requests").select("request_id", "dom_elements", "redaction_manifest")), with_fields=True)
 
 
-def _marked(spark: SparkSession, d: str) -> DataFrame:
-    requests = table(spark, d, "requests")
-    total = requests.agg(F.countDistinct("request_id").alias("n")).scalar()
-    return frequency.mark_terms(frequency.term_frequencies(frequency.request_terms(requests)), total)
-
-
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _marked(spark, d).where("verdict <> 'useful'").select("field_name", "term", "verdict")
-
-
-def p3_term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _marked(spark, d)
-
-
-_TERMS = """WITH r AS (SELECT DISTINCT request_id, dom_elements, redaction_manifest FROM requests),
-m AS (SELECT request_id, unnest(redaction_manifest) AS e, unnest(range(len(redaction_manifest))) AS pos FROM r),
-el AS (SELECT request_id, unnest(dom_elements) AS e, unnest(range(len(dom_elements))) AS pos FROM r),
-t AS (SELECT DISTINCT 'label' AS field_name, e.label AS term, request_id, pos FROM m UNION ALL SELECT DISTINCT 'source', e.source, request_id, pos FROM m UNION ALL SELECT DISTINCT 'tag', e.tag, request_id, pos FROM el),
-c AS (SELECT field_name, term, CAST(count(*) AS BIGINT) AS occurrences, CAST(count(DISTINCT request_id) AS BIGINT) AS records FROM t WHERE term IS NOT NULL GROUP BY ALL),
-v AS (SELECT *, CASE WHEN records < 5 THEN 'rare' WHEN records > 0.5 * (SELECT count(DISTINCT request_id) FROM requests) THEN 'common' ELSE 'useful' END AS verdict FROM c)
-"""
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_placed, p2_found, p2_requests, p2_elements, p2_rects, p2_redactions, p2_request_links, p3_found, p3_term_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_placed, p2_found, p2_requests, p2_elements, p2_rects, p2_redactions, p2_request_links)}
 SQL: dict[str, str] = {
     "p2_request_links": """WITH el AS (SELECT request_id, unnest(dom_elements) AS e, unnest(range(len(dom_elements))) AS pos FROM requests),
 m AS (SELECT request_id, unnest(redaction_manifest) AS e, unnest(range(len(redaction_manifest))) AS pos FROM requests)
 SELECT DISTINCT request_id, 'element' AS node_kind, CAST(pos AS VARCHAR) AS node_path, '' AS parent_path FROM el WHERE e IS NOT NULL
 UNION ALL SELECT DISTINCT request_id, 'rect', pos || '/rect', CAST(pos AS VARCHAR) FROM el WHERE e.rect IS NOT NULL
 UNION ALL SELECT DISTINCT request_id, 'redaction', CAST(pos AS VARCHAR), '' FROM m WHERE e IS NOT NULL""",
-    "p3_found": _TERMS + "SELECT field_name, term, verdict FROM v WHERE verdict <> 'useful'",
-    "p3_term_counts": _TERMS + "SELECT * FROM v",
 }
