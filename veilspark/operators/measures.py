@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.units import DIMENSIONS, Context, Unit, parse_quantity, parse_unit, stated_units, to_length
+from ..session import materialise
 from .nested import decode, parse_body, visit
 
 FIELDS = ("rect", "box", "viewport")
+SIDES = ("left", "top", "width", "height")
 PLACED = "request_id BIGINT, kind STRING, path STRING, left DOUBLE, top DOUBLE, width DOUBLE, height DOUBLE"
 _UNIT = T.StructType([T.StructField(n, T.DoubleType() if n in ("scale", "offset") else T.IntegerType()) for n in ("scale", "offset", "device", "rootfont", "axis")])
 
@@ -77,37 +79,37 @@ def request_contexts(requests: DataFrame, clients: DataFrame) -> DataFrame:
     return joined.withColumn("view", F.struct(side("width", "innerWidth", "w").alias("width"), side("height", "innerHeight", "h").alias("height"), ratio.alias("ratio"), root.alias("root"))).drop("_client", *(f"_{f}" for f in FIELDS))
 
 
-def _placed(df: DataFrame, kind: str, parts: list[Column]) -> DataFrame:
-    unit = F.col(f"units.{kind}")
-    sides = [_css(p, unit, F.col("view.ratio"), F.col("view.root"), F.col("view.width" if i % 2 == 0 else "view.height")) for i, p in enumerate(parts)]
-    out = df.select("request_id", F.lit(kind).alias("kind"), F.col("at").cast("string").alias("path"), *(s.alias(n) for s, n in zip(sides, ("left", "top", "width", "height"))))
-    finite = [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")) for n in ("left", "top", "width", "height")]
-    return out.where(finite[0] & finite[1] & finite[2] & finite[3])
-
-
-def _known(side: Column) -> Column:
+def _finite(side: Column) -> Column:
     return F.when(~F.isnan(side) & (F.abs(side) != float("inf")), side)
 
 
 def place_requests(requests: DataFrame, clients: DataFrame, viewports: bool = False) -> DataFrame:
-    """All rects and boxes of parsed requests in CSS px (``PLACED``), with ``viewports`` those too."""
+    """All rects and boxes of parsed requests in CSS px (``PLACED``), with ``viewports`` those too: each request is read and expanded once."""
     narrow = requests.select("request_id", "client", "capture_note", "viewport", F.col("dom_elements.rect").alias("rects"), F.col("redaction_manifest.box").alias("boxes"))  # reads these leaves only
-    base = request_contexts(narrow, clients).select("request_id", "units", "view", "rects", "boxes")
-    rects = base.select("request_id", "units", "view", F.posexplode("rects").alias("at", "r"))
-    boxes = base.select("request_id", "units", "view", F.posexplode("boxes").alias("at", "b")).where(F.size("b") == 4)
-    placed = _placed(rects, "rect", [F.col(f"r.{n}") for n in ("left", "top", "width", "height")]).unionByName(_placed(boxes, "box", [F.col("b")[i] for i in range(4)]))
-    if not viewports:
-        return placed
-    none = F.lit(None).cast("double")
-    views = base.select("request_id", F.lit("viewport").alias("kind"), F.lit("").alias("path"), none.alias("left"), none.alias("top"), *(_known(F.col(f"view.{n}")).alias(n) for n in ("width", "height")))
-    return placed.unionByName(views.where("width IS NOT NULL OR height IS NOT NULL"))
+    base = request_contexts(narrow, clients)
+    types = dict(narrow.dtypes)
+
+    ratio, root, axes = F.col("view.ratio"), F.col("view.root"), [F.col("view.width"), F.col("view.height")] * 2
+
+    def item(kind: str, at: Column, sides: list[Column]) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), at.cast("string").alias("path"), *(_finite(s.cast("double")).alias(n) for s, n in zip(sides, SIDES)))
+
+    css = lambda kind, raw: [_css(r, F.col(f"units.{kind}"), ratio, root, axis) for r, axis in zip(raw, axes)]
+    rect = lambda r, at: F.when(r.isNotNull(), item("rect", at, css("rect", [r[n] for n in SIDES])))
+    box = lambda b, at: F.when(F.size(b) == 4, item("box", at, css("box", [F.get(b, F.lit(i)) for i in range(4)])))
+    items = [F.transform(F.coalesce(c, F.array().cast(types[c])), f) for c, f in (("rects", rect), ("boxes", box))]
+    if viewports:
+        items.append(F.array(item("viewport", F.lit(""), [F.lit(None), F.lit(None), *axes[:2]])))
+    rows = base.select("request_id", F.explode(F.concat(*items)).alias("n")).select("request_id", "n.*")
+    known = "left IS NOT NULL AND top IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL"
+    return rows.where(f"kind IS NOT NULL AND IF(kind = 'viewport', width IS NOT NULL OR height IS NOT NULL, {known})")
 
 
 # ------------------------------------------------------------------ unparsed bodies
 
 _DECLARATION = re.compile(r"\s*(left|top|width|height|x|y|w|h)\s*:\s*([^;]+?)\s*(?:;|$)", re.I)
 _SIZE = re.compile(r"\s*(?P<w>[\d.]+\s*[^\d@]*?)\s*[x×,]\s*(?P<h>[\d.]+\s*[^\d@]*?)\s*(?:@\s*(?P<ratio>[\d.]+)\s*x?)?\s*", re.I)
-_SIDES = (("left", "x"), ("top", "y"), ("width", "w"), ("height", "h"))
+_NAMES = (("left", "x"), ("top", "y"), ("width", "w"), ("height", "h"))
 
 
 def _sides(value: Any) -> tuple[list, Any] | None:
@@ -118,7 +120,7 @@ def _sides(value: Any) -> tuple[list, Any] | None:
     if isinstance(value, list):
         return (value, None) if len(value) == 4 else None
     if isinstance(value, dict):
-        four = [next((value[n] for n in names if n in value), None) for names in _SIDES]
+        four = [next((value[n] for n in names if n in value), None) for names in _NAMES]
         return (four, value.get("unit")) if any(v is not None for v in four) else None
     return None
 
@@ -201,15 +203,22 @@ def place_bodies(payloads: DataFrame, clients: DataFrame, body: str = "body", vi
 def matching_boxes(placed: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Pairs of a box and a rect of one request that differ by at most ``tolerance`` in every side.
 
-    A band join on a grid: a rect lies in one cell of its request's (left, top)
-    plane, a box looks into the up to four cells its tolerance reaches, and the
-    join is on request and cell. However many items one request holds, only
-    near ones meet, and its cells spread over the partitions.
+    A band join on a grid: a rect lies in one cell of its request's space of
+    left, top, width and height, a box looks into the few cells its tolerance
+    reaches, and the join is on request and cell. However many items one request
+    holds, and however many of them begin at one point, only those alike in place
+    and size meet, and its cells spread over the partitions. Both sides come from
+    one written table, so ``placed`` is computed once.
     """
-    cell, slack = 4 * tolerance, tolerance + 1e-6
+    cell, slack = 16 * tolerance, tolerance + 1e-6
     at = lambda c: F.floor(c / cell)
-    rects = placed.where("kind = 'rect'").select("request_id", F.col("path").alias("element_path"), *(F.col(n).alias(f"r_{n}") for n in ("left", "top", "width", "height")), at(F.col("left")).alias("cx"), at(F.col("top")).alias("cy"))
-    reach = lambda n: F.array_distinct(F.array(at(F.col(n) - slack), at(F.col(n) + slack)))
-    boxes = placed.where("kind = 'box'").withColumn("cx", F.explode(reach("left"))).withColumn("cy", F.explode(reach("top"))).withColumnRenamed("path", "item_path").drop("kind")
-    near = [F.abs(F.col(n) - F.col(f"r_{n}")) <= slack for n in ("left", "top", "width", "height")]
-    return boxes.join(rects, ["request_id", "cx", "cy"]).where(near[0] & near[1] & near[2] & near[3]).select("request_id", "item_path", "element_path").distinct()
+    reach = lambda n: F.when(F.col("kind") == "rect", F.array(at(F.col(n)))).otherwise(F.array_distinct(F.array(at(F.col(n) - slack), at(F.col(n) + slack))))
+    cells = placed.where(F.col("kind").isin("rect", "box")).select("*", *(reach(n).alias(f"c_{n}") for n in SIDES))
+    for n in SIDES:
+        cells = cells.withColumn(f"c_{n}", F.explode(f"c_{n}"))
+    cells = materialise(cells, "placed")
+    keys = ["request_id", *(f"c_{n}" for n in SIDES)]
+    rects = cells.where("kind = 'rect'").select(*keys, F.col("path").alias("element_path"), *(F.col(n).alias(f"r_{n}") for n in SIDES))
+    boxes = cells.where("kind = 'box'").select(*keys, F.col("path").alias("item_path"), *SIDES)
+    near = [F.abs(F.col(n) - F.col(f"r_{n}")) <= slack for n in SIDES]
+    return boxes.join(rects, keys).where(near[0] & near[1] & near[2] & near[3]).select("request_id", "item_path", "element_path").distinct()

@@ -32,10 +32,16 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path under the folder all executors share (``spark.checkpoint.dir``).
 
-    The setting is read from the session; only where it is unset (single-machine
-    tests) a temporary folder is taken.
+    The setting is read from the session. Where it is unset, a local session
+    (single-machine tests) takes a temporary folder; a cluster raises, as what
+    one executor writes to a folder of its own is lost to the others.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "veilspark")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        root = os.path.join(tempfile.gettempdir(), "veilspark")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -46,15 +52,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as the planner knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
-    A table of few small files gives fewer input splits than cores, and what
-    follows (regex passes, Python workers) is bound by the CPU. Tables with
-    enough files come back unchanged, so at scale this adds no shuffle.
+    A file gives as many tasks as it has row groups, so a small table is read
+    by fewer tasks than there are cores, and what follows (regex passes, Python
+    workers) is bound by the CPU. Only a table of less than one full split
+    (``spark.sql.files.maxPartitionBytes``) a core is dealt out; a larger one
+    comes back unchanged however many files it has, so what is shuffled here is
+    bounded by that size and no table at scale is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df if input_bytes(df) >= cores * split else df.repartition(cores)
 
 
 _SHIPPED: set[str] = set()
