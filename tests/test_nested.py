@@ -68,3 +68,11 @@ def test_parsed_requests_keep_their_fields(spark, rows, tmp_path):
     assert read("element", "tag", "text", "is_interactive") == [(1, "1", "", "a", 'x "1"', True), (1, "2", "", "b", None, None), (3, "0", "", "c", None, None)]
     assert read("rect", "value") == [(1, "2/rect", "2", '{"left":1.5}'), (3, "0/rect", "0", "[1, 2, 3, 4]")]
     assert read("redaction", "label", "box") == [(1, "1", "", "y", "[1,2,3,4]")]
+
+
+def test_links_come_from_the_tagged_tables(spark, rows, tmp_path):
+    body = '{"task": "t", "dom_elements": [{"tag": "a", "rect": {"x": 1}, "children": {"tag": "b", "redaction_manifest": [null, {"label": "l"}]}}]}'
+    df = spark.createDataFrame([(1, body), (1, body), (2, None)], "request_id BIGINT, body STRING")
+    nested.write_tables(nested.emit_tagged(df), str(tmp_path / "t"))
+    assert rows(nested.links_of(spark, str(tmp_path / "t"), "element", "rect", "redaction")) == [(1, "element", "0", ""), (1, "element", "0.0", "0"), (1, "rect", "0/rect", "0"), (1, "redaction", "0.0/1", "0.0")]
+    assert nested.read_table(spark, str(tmp_path / "t"), "element").where("tag = 'b'").count() == 2

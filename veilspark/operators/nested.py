@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -152,6 +153,12 @@ def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.select("request_id", "node_path", "parent_path", F.from_json("fields", SCHEMAS[kind]).alias("f")).select("request_id", "node_path", "parent_path", "f.*")
 
 
+def links_of(spark: SparkSession, path: str, *kinds: str) -> DataFrame:
+    """(request_id, node_kind, node_path, parent_path) of the tables of some tags; repeated deliveries count once."""
+    link = lambda kind: read_table(spark, path, kind).select("request_id", F.lit(kind).alias("node_kind"), "node_path", "parent_path")
+    return reduce(DataFrame.unionByName, map(link, kinds)).distinct()
+
+
 def _payload(names: dict[str, Column], types: T.StructType) -> Column:
     """A node's fields as JSON, as ``_emit`` gives them: text and flags as they are, all else as text."""
     parts = []

@@ -27,8 +27,10 @@ def p1_placed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    tagged = nested.emit_tagged(spread(table(spark, d, "act_payloads")), with_fields=False)
-    return nested.distinct_nodes(tagged.where(F.col("node_kind").isin("element", "rect", "redaction")))
+    """The links of all nodes of bodies, from the tables written by tag."""
+    path = shared_dir(spark, "nested-bodies")
+    nested.write_tables(nested.emit_tagged(spread(table(spark, d, "act_payloads"))), path)
+    return nested.links_of(spark, path, "element", "rect", "redaction")
 
 
 def _nodes(spark: SparkSession, d: str, kind: str) -> DataFrame:
