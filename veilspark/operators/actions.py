@@ -89,3 +89,26 @@ def act(requests: DataFrame) -> DataFrame:
     """Each request's action, and an audit that counts what is really there."""
     image = F.coalesce(F.length("sanitized_image_base64"), F.lit(0))
     return requests.select("request_id", rank_action(F.col("task"), F.col("dom_elements")).alias("a"), F.coalesce(F.size("redaction_manifest"), F.lit(0)).alias("redacted_regions"), image.alias("image_chars"), (image > 100).alias("has_image")).select("request_id", "a.*", "redacted_regions", "image_chars", "has_image")
+
+
+def target_of(elements: Column, selector: Column, x: Column, y: Column) -> Column:
+    """``struct<at,how>``: the position of the element an action means, or null.
+
+    The first element in document order that the selector names (its own
+    selector, ``#id``, ``[name="..."]`` or its tag); if there is none, or no
+    selector, the last one that lies under the point, as later ones are drawn
+    above. A selector that cannot be read names nothing. Null elements and
+    rects keep their position and are never meant.
+    """
+    named = lambda e: (e["selector"] == selector) | (F.concat(F.lit("#"), e["id"]) == selector) | (F.concat(F.lit('[name="'), e["name"], F.lit('"]')) == selector) | (e["tag"] == selector)
+    r = lambda e, n: e["rect"][n]
+    under = lambda e: (x >= r(e, "left")) & (x < r(e, "left") + r(e, "width")) & (y >= r(e, "top")) & (y < r(e, "top") + r(e, "height"))
+    spots = lambda test: F.filter(F.transform(elements, lambda e, i: F.when(F.coalesce(test(e), F.lit(False)), i)), lambda i: i.isNotNull())
+    by_name, by_point = F.array_min(spots(named)), F.array_max(spots(under))
+    return F.when(by_name.isNotNull(), F.struct(by_name.alias("at"), F.lit("selector").alias("how"))).when(by_point.isNotNull(), F.struct(by_point.alias("at"), F.lit("point").alias("how")))
+
+
+def resolve_targets(requests: DataFrame) -> DataFrame:
+    """Each request's action with the element it is dispatched to, within the request's row: (request_id, type, selector, x, y, at, how)."""
+    a = requests.select("request_id", "dom_elements", rank_action(F.col("task"), F.col("dom_elements")).alias("a"))
+    return a.select("request_id", "a.type", "a.selector", "a.x", "a.y", target_of(F.col("dom_elements"), F.col("a.selector"), F.col("a.x"), F.col("a.y")).alias("t")).select("request_id", "type", "selector", "x", "y", "t.at", "t.how")

@@ -12,6 +12,8 @@ left out; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,12 @@ def attribute(name: str) -> Column:
     return F.col(name)
 
 
-def latest(elements: DataFrame) -> DataFrame:
-    """One row per element, of its last load; rows alike in all but the time of loading aggregate map-side."""
-    return elements.groupBy("page_id", "ord").agg(F.max_by(F.struct(*(c for c in _COLUMNS if c not in ("page_id", "ord"))), F.struct("loaded_at", "text")).alias("_e")).select("page_id", "ord", "_e.*")
+def latest(elements: DataFrame, columns: Sequence[str] = _COLUMNS) -> DataFrame:
+    """One row per element, of its last load; rows alike in all but the time of loading aggregate map-side. Only ``columns`` are shuffled."""
+    kept = [c for c in columns if c not in ("page_id", "ord")]
+    first = ["text"] if "text" in kept else []  # of rows loaded at one time
+    ranked = ["loaded_at", *first, *(c for c in kept if c not in first)]
+    return elements.groupBy("page_id", "ord").agg(F.max(F.struct(*ranked)).alias("_e")).select("page_id", "ord", *(F.col(f"_e.{c}").alias(c) for c in kept))
 
 
 def labelled_by(elements: DataFrame) -> DataFrame:
@@ -148,6 +153,16 @@ def build_digest(elements: DataFrame, pages: DataFrame) -> DataFrame:
     return j.select("page_id", digest.alias("digest"), stats.alias("stats"))
 
 
+def latest_page(pages: DataFrame, by: str = "site", url: str = "url", seen: str = "first_seen") -> DataFrame:
+    """The page seen last of each ``by``, the browser's own pages left out; ties go to the higher id."""
+    return reachable_urls(pages, url).groupBy(by).agg(F.max(F.struct(seen, "page_id", url)).alias("_p")).select(by, F.col("_p.page_id").alias("page_id"), F.col(f"_p.{url}").alias(url))
+
+
+def preview(text: Column, most: int = 4000) -> Column:
+    """The beginning of a payload as it is shown to people, with what was left out as a number of characters."""
+    return F.struct(F.substring(text, 1, most).alias("shown"), F.greatest(F.length(text) - most, F.lit(0)).alias("more"))
+
+
 def reachable_urls(urls: DataFrame, column: str = "url") -> DataFrame:
     """Without the browser's own pages."""
     return urls.where(~F.col(column).rlike("^(chrome|edge|about|moz-extension|chrome-extension):"))

@@ -92,12 +92,17 @@ def prepared_masks(masks: DataFrame, frames: DataFrame, pad: float = 3.0) -> Dat
     return j.withColumn("paint_order", F.when(F.col("style") == "blur", 0).otherwise(1)).withColumn("blur_radius", F.when(F.col("style") == "blur", G.blur_radius(F.col("padded")))).drop("_w", "_h")
 
 
-def gate_frames(frames: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Fail closed: a frame is ``released`` only if its vision ran, it has a size and all of its masks are sound."""
+def gate_frames(frames: DataFrame, prepared: DataFrame, policy: str = "closed") -> DataFrame:
+    """Fail closed: a frame is ``released`` only if its vision ran, it has a size and all of its masks are sound.
+
+    ``policy="v1"`` is the earlier one, for comparison only: every frame goes out, whatever failed (``why`` still says what did).
+    """
+    if policy not in ("closed", "v1"):
+        raise ValueError(f"unknown policy {policy!r}; there are closed and v1")
     m = prepared.groupBy("frame_id").agg(F.count("*").alias("masks"), F.count_if(F.size("problems") > 0).alias("bad_masks"))
     j = frames.join(m, "frame_id", "left").fillna(0, ["masks", "bad_masks"])
     why = F.when(~F.coalesce(F.col("vision_healthy"), F.lit(False)), "vision unhealthy").when(~F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False)), "no size").when(F.col("bad_masks") > 0, "bad masks")
-    return j.select("frame_id", "masks", "bad_masks", why.alias("why")).withColumn("state", F.when(F.col("why").isNull(), "released").otherwise("quarantine"))
+    return j.select("frame_id", "masks", "bad_masks", why.alias("why")).withColumn("state", F.when(F.col("why").isNull() | F.lit(policy == "v1"), "released").otherwise("quarantine"))
 
 
 def leaked_points(truth: DataFrame, masks: DataFrame, step: float = 4.0, cell: float = 256.0, frames: DataFrame | None = None) -> DataFrame:
@@ -118,12 +123,22 @@ def leaked_points(truth: DataFrame, masks: DataFrame, step: float = 4.0, cell: f
     inside = (F.col("px") >= F.col("m.rect.x")) & (F.col("px") < F.col("m.rect.x") + F.col("m.rect.w")) & (F.col("py") >= F.col("m.rect.y")) & (F.col("py") < F.col("m.rect.y") + F.col("m.rect.h"))
     same = (F.col("p.frame_id") == F.col("m.frame_id")) & (F.col("p._cx") == F.col("m._cx")) & (F.col("p._cy") == F.col("m._cy"))
     leaked = p.alias("p").join(m.alias("m"), same & inside, "left_anti").groupBy("frame_id").agg(F.count("*").alias("leaked"))
-    total = p.groupBy("frame_id").agg(F.count("*").alias("total"))
+    along = lambda n: F.ceil(F.col(f"rect.{n}") / step).cast("bigint")
+    points = F.when((F.col("rect.w") > 0) & (F.col("rect.h") > 0), along("w") * along("h"))
+    total = truth.groupBy("frame_id").agg(F.sum(points).alias("total")).where("total > 0")  # counted, not listed
     if frames is not None:
         total = frames.select("frame_id").distinct().join(total, "frame_id", "left").fillna(0, ["total"])
     return total.join(leaked, "frame_id", "left").fillna(0, ["leaked"]).withColumn("leak_rate", F.coalesce(F.try_divide("leaked", "total"), F.lit(0.0)))
 
 
+def attach_scans(frames: DataFrame, **scans: DataFrame) -> DataFrame:
+    """Frames with what each scan found, as one struct column a scan, joined by ``frame_id`` and not by the order of calls; null where a scan has nothing. Scans have one row a frame."""
+    for name, scan in scans.items():
+        columns = [c for c in scan.columns if c != "frame_id"]
+        frames = frames.join(scan.select("frame_id", F.struct(*columns).alias(name)), "frame_id", "left")
+    return frames
+
+
 def top_masks(masks: DataFrame, n: int = 40) -> DataFrame:
     """The first ``n`` masks of each frame, DOM boxes first."""
     w = Window.partitionBy("frame_id").orderBy(F.when(F.col("source") == "dom", 0).otherwise(1), "ord")

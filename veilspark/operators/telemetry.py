@@ -23,14 +23,23 @@ def round2(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
 
 
-def percentiles(value: Column, *points: float) -> list[Column]:
-    p = F.percentile(value, F.array(*map(F.lit, points)))
-    return [p[i].alias(f"p{int(x * 100)}") for i, x in enumerate(points)]
+def percentiles(values: DataFrame, by: str, value: str, *points: float) -> DataFrame:
+    """(by, n, p50, ...): exact percentiles of a group of any size, picked by rank and interpolated linearly; no group is gathered in one task or buffer."""
+    ranked = ordered(values.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v")), by, ["_v"], "_at")
+    size = ranked.groupBy(by).agg((F.max("_at") + 1).alias("n")).withColumnRenamed(by, "_g")
+    j = ranked.join(size, F.col(by).eqNullSafe(F.col("_g"))).drop("_g")
+    at = lambda p: (F.col("n") - 1) * p
+    value_at = lambda rank: F.max(F.when(F.col("_at") == rank, F.col("_v")))
+    parts = [(value_at(F.floor(at(p))), value_at(F.ceil(at(p))), F.max(at(p) - F.floor(at(p)))) for p in points]
+    return j.groupBy(by).agg(F.max("n").alias("n"), *(F.when(x == 0, low).otherwise((1 - x) * low + x * high).alias(f"p{int(p * 100)}") for p, (low, high, x) in zip(points, parts)))
 
 
 def stage_percentiles(timings: DataFrame) -> DataFrame:
     """n, mean, p50 and p95 of every stage that has data."""
-    return timings.where("ms IS NOT NULL").groupBy("stage").agg(F.count("*").alias("n"), F.avg("ms").alias("mean"), *percentiles(F.col("ms"), 0.5, 0.95))
+    t = timings.where("ms IS NOT NULL")
+    means = t.groupBy("stage").agg(F.avg("ms").alias("mean")).withColumnRenamed("stage", "_g")
+    p = percentiles(t, "stage", "ms", 0.5, 0.95)
+    return p.join(means, F.col("stage").eqNullSafe(F.col("_g"))).select("stage", "n", "mean", "p50", "p95")
 
 
 def frames_of(timings: DataFrame, key: Sequence[str] = ("session", "frame")) -> DataFrame:
@@ -45,22 +54,26 @@ def with_unaccounted(frames: DataFrame) -> DataFrame:
     return frames.withColumn("unaccounted", F.greatest(F.lit(0.0), F.col("total") - spent))
 
 
-def numbered(frames: DataFrame) -> DataFrame:
-    """Frames with their ordinal within the session from 0.
+def ordered(df: DataFrame, by: str, keys: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the rank of each row within its ``by`` in order of ``keys``, from 0.
 
-    Sessions may be of any length, so they are not gathered in one task: frames
-    are range-partitioned in time order, ranked within their partition, and
-    moved up by what the session has in the partitions before.
+    Groups may be of any size, so they are not gathered in one task: rows are
+    range-partitioned in order, ranked within their partition, and
+    moved up by what the group has in the partitions before.
     """
-    key = ["session", "ts", "total"]
-    placed = materialise(frames.repartitionByRange(*key).withColumn("_p", F.spark_partition_id()), "ordinals")
-    counts = placed.groupBy("session", "_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("session").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("session", "_p").orderBy("ts", "total"))
-    offsets = counts.select(F.col("session").alias("_s"), F.col("_p").alias("_q"), before.alias("_b"))
-    same = F.col("session").eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))
+    placed = materialise(df.repartitionByRange(by, *keys).withColumn("_p", F.spark_partition_id()), "ordinals")
+    counts = placed.groupBy(by, "_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(by, "_p").orderBy(*keys))
+    offsets = counts.select(F.col(by).alias("_s"), F.col("_p").alias("_q"), before.alias("_b"))
+    same = F.col(by).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))
     ranked = placed.withColumn("_r", rank).join(offsets, same)
-    return ranked.withColumn("ordinal", F.col("_r") + F.col("_b") - 1).drop("_p", "_q", "_s", "_r", "_b")
+    return ranked.withColumn(name, F.col("_r") + F.col("_b") - 1).drop("_p", "_q", "_s", "_r", "_b")
+
+
+def numbered(frames: DataFrame) -> DataFrame:
+    """Frames with their ordinal within the session from 0, in order of time and total."""
+    return ordered(frames, "session", ["ts", "total"], "ordinal")
 
 
 def ring_buffer(frames: DataFrame, size: int = 500) -> DataFrame:
@@ -70,10 +83,11 @@ def ring_buffer(frames: DataFrame, size: int = 500) -> DataFrame:
 
 def steady_state(frames: DataFrame, warmup: int = 1) -> DataFrame:
     """By session: the cold frame's total, and statistics of those after the first ``warmup``."""
-    n = numbered(frames)
+    n = materialise(numbered(frames).select("session", "ordinal", "total"), "numbered")
     late = F.when(F.col("ordinal") >= warmup, F.col("total"))
-    s = n.groupBy("session").agg(F.min_by("total", "ordinal").alias("cold"), F.count(late).alias("n"), *percentiles(late, 0.5, 0.95), F.min(late).alias("fastest"), F.max(late).alias("slowest"))
-    return s.withColumn("fps", F.try_divide(F.lit(1000.0), F.col("p50")))
+    s = n.groupBy("session").agg(F.min_by("total", "ordinal").alias("cold"), F.count(late).alias("n"), F.min(late).alias("fastest"), F.max(late).alias("slowest"))
+    p = percentiles(n.where(F.col("ordinal") >= warmup), "session", "total", 0.5, 0.95).select(F.col("session").alias("_g"), "p50", "p95")
+    return s.join(p, F.col("session").eqNullSafe(F.col("_g")), "left").select("session", "cold", "n", "p50", "p95", "fastest", "slowest", F.try_divide(F.lit(1000.0), F.col("p50")).alias("fps"))
 
 
 def stage_share(frames: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def interactive_counts(spark: SparkSession, d: str) -> DataFrame:
     """Interactive elements by tag under both definitions."""
     from ..functions import elements as E
 
-    e = digest.latest(table(spark, d, "elements"))
+    e = digest.latest(table(spark, d, "elements").select("page_id", "ord", "loaded_at", "tag", "role", "href"), ("tag", "role", "href"))
     return e.groupBy("tag").agg(F.count_if(E.interactive(F.col("tag"), F.col("role"), F.col("href"))).alias("now"), F.count_if(E.interactive_v1(F.col("tag"))).alias("earlier")).where("now > 0 OR earlier > 0")
 
 

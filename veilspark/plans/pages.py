@@ -15,13 +15,18 @@ from .sqlgen import hits_sql, scrubbed_sql
 from .tables import table
 
 
-def _elements(spark: SparkSession, d: str) -> DataFrame:
-    return digest.latest(spread(table(spark, d, "elements")))
+#: What the classifier reads of an element besides its key.
+_EVIDENCE = ("type", "name", "id", "placeholder", "aria_label", "data_testid", "data_test", "aria_labelledby", "autocomplete", "value", "text")
 
 
-def _written_elements(spark: SparkSession, d: str) -> DataFrame:
+def _elements(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The elements' last loads, with the named columns only: the others are neither read nor shuffled."""
+    return digest.latest(spread(table(spark, d, "elements").select("page_id", "ord", "loaded_at", *columns)), columns)
+
+
+def _written_elements(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """The same, written once for those who read them several times."""
-    return materialise(_elements(spark, d), "elements")
+    return materialise(_elements(spark, d, *columns), "elements")
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -29,11 +34,11 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def haystacks(spark: SparkSession, d: str) -> DataFrame:
-    return digest.with_haystack(_written_elements(spark, d)).where("haystack <> ''").select("page_id", "ord", "haystack")
+    return digest.with_haystack(_written_elements(spark, d, *(c for c in _EVIDENCE if c not in ("type", "autocomplete", "value")))).where("haystack <> ''").select("page_id", "ord", "haystack")
 
 
 def element_classes(spark: SparkSession, d: str) -> DataFrame:
-    return digest.classified(_written_elements(spark, d)).where("class IS NOT NULL").select("page_id", "ord", "class.*")
+    return digest.classified(_written_elements(spark, d, *_EVIDENCE)).where("class IS NOT NULL").select("page_id", "ord", "class.*")
 
 
 def layer_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -41,61 +46,61 @@ def layer_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def element_classes_v1(spark: SparkSession, d: str) -> DataFrame:
-    e = _elements(spark, d).select("page_id", "ord", E.classify_v1(digest.attribute).alias("v"))
+    e = _elements(spark, d, "type", "autocomplete", "name", "id", "placeholder", "aria_label").select("page_id", "ord", E.classify_v1(digest.attribute).alias("v"))
     return e.select("page_id", "ord", "v.*")
 
 
 def labelled_elements(spark: SparkSession, d: str) -> DataFrame:
-    return digest.labelled_by(_elements(spark, d)).select("page_id", "ord", F.array_join("labels", " | ").alias("labels"))
+    return digest.labelled_by(_elements(spark, d, "id", "aria_labelledby", "text")).select("page_id", "ord", F.array_join("labels", " | ").alias("labels"))
 
 
 def pointed_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels that point to an element: here the label elements, each pointing to the id of the element after it."""
-    e = _written_elements(spark, d)
+    e = _written_elements(spark, d, "tag", "id", "text")
     labels = e.where("tag = 'label'").select("page_id", (F.col("ord") + 1).alias("ord"), "text").join(e.where("id <> ''").select("page_id", "ord", F.col("id").alias("for_id")), ["page_id", "ord"])
     return digest.labels_for(e, labels).select("page_id", "ord", F.array_join("labels", " | ").alias("labels"))
 
 
 def field_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return digest.field_boxes(_written_elements(spark, d), _pages(spark, d)).select("page_id", "ord", "layer", "kind", "visible")
+    return digest.field_boxes(_written_elements(spark, d, "tag", "rect", "hidden", *_EVIDENCE), _pages(spark, d)).select("page_id", "ord", "layer", "kind", "visible")
 
 
 def text_boxes_first400(spark: SparkSession, d: str) -> DataFrame:
-    return digest.text_boxes(_elements(spark, d), _pages(spark, d)).select("page_id", "ord", "kind", "confidence")
+    return digest.text_boxes(_elements(spark, d, "tag", "text", "rect"), _pages(spark, d)).select("page_id", "ord", "kind", "confidence")
 
 
 def full_scan_by_layer(spark: SparkSession, d: str) -> DataFrame:
-    return digest.full_scan(_written_elements(spark, d), _pages(spark, d)).groupBy("layer", "kind").agg(F.count("*").alias("n"))
+    return digest.full_scan(_written_elements(spark, d, "tag", "rect", "hidden", *_EVIDENCE), _pages(spark, d)).groupBy("layer", "kind").agg(F.count("*").alias("n"))
 
 
 def sensitive_elements_v1(spark: SparkSession, d: str) -> DataFrame:
-    return digest.sensitive_elements_v1(_elements(spark, d)).select("page_id", "ord", "reason")
+    return digest.sensitive_elements_v1(_elements(spark, d, "tag", "rect", "type", "autocomplete", "name", "id", "placeholder", "aria_label")).select("page_id", "ord", "reason")
 
 
 def interactive_elements_v1(spark: SparkSession, d: str) -> DataFrame:
-    return digest.interactive_elements_v1(_elements(spark, d))
+    return digest.interactive_elements_v1(_elements(spark, d, "tag", "type", "id", "name", "placeholder", "aria_label", "value", "text", "rect"))
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    return _elements(spark, d).where("tag = 'a' AND href IS NOT NULL").select("page_id", "ord", "href")
+    return _elements(spark, d, "tag", "href").where("tag = 'a' AND href IS NOT NULL").select("page_id", "ord", "href")
 
 
 def page_headings(spark: SparkSession, d: str) -> DataFrame:
-    return digest.digest_headings(_elements(spark, d)).select("page_id", "ord", "heading", F.col("n").cast("bigint").alias("n"))
+    return digest.digest_headings(_elements(spark, d, "tag", "text")).select("page_id", "ord", "heading", F.col("n").cast("bigint").alias("n"))
 
 
 def digest_elements_top150(spark: SparkSession, d: str) -> DataFrame:
-    e = digest.digest_elements(_written_elements(spark, d), _pages(spark, d))
+    e = digest.digest_elements(_written_elements(spark, d, "tag", "role", "href", "rect", *_EVIDENCE), _pages(spark, d))
     return e.select("page_id", "ord", F.col("i").cast("bigint").alias("i"), "tag", "type", "role", "text", "sensitive", "pii_kind", *(F.col(f"rect.{n}").alias(n) for n in "xywh"))
 
 
 def page_digests(spark: SparkSession, d: str) -> DataFrame:
     """Digests as JSON, one row per page."""
-    return digest.build_digest(_written_elements(spark, d), _pages(spark, d)).select("page_id", F.to_json("digest").alias("digest"), F.to_json("stats").alias("stats"))
+    return digest.build_digest(_written_elements(spark, d, "tag", "role", "href", "rect", *_EVIDENCE), _pages(spark, d)).select("page_id", F.to_json("digest").alias("digest"), F.to_json("stats").alias("stats"))
 
 
 def digest_sizes(spark: SparkSession, d: str) -> DataFrame:
-    g = digest.build_digest(_written_elements(spark, d), _pages(spark, d))
+    g = digest.build_digest(_written_elements(spark, d, "tag", "role", "href", "rect", *_EVIDENCE), _pages(spark, d))
     return g.select("page_id", F.size("digest.elements").cast("bigint").alias("elements"), F.size("digest.headings").cast("bigint").alias("headings"), F.coalesce(F.element_at("stats.by_kind", "field"), F.lit(0)).cast("bigint").alias("fields"))
 
 

@@ -29,6 +29,9 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
     return spark
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path under the folder all executors share (``spark.checkpoint.dir``).
 
@@ -42,7 +45,18 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = os.path.join(tempfile.gettempdir(), "veilspark")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete what this driver's queries left in the shared folder; results that still read it must have been saved. Says how many folders went."""
+    gone = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -39,6 +39,12 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str | None =
     return (events.withWatermark("ts", late) if late is not None else events).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def resource_summary(samples: DataFrame) -> DataFrame:
+    """Per session of ``samples(session, at, used)``: readings so far, the first, the highest and the last of them by time, and the growth; zero and null readings are no readings."""
+    s = samples.where("used > 0").groupBy("session").agg(F.count("*").alias("samples"), F.min_by("used", "at").alias("first"), F.max("used").alias("peak"), F.max_by("used", "at").alias("last"))
+    return s.withColumn("delta", F.col("last") - F.col("first"))
+
+
 def _history(size: int) -> Callable:
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stamps, values = (list(x) for x in state.get) if state.exists else ([], [])
