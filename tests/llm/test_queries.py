@@ -29,3 +29,16 @@ def test_against_sql(spark, rows, name):
     columns = [c[0] for c in theirs.description]
     assert sorted(columns) == sorted(ours.columns)
     assert rows(ours.select(*columns)) == sorted(theirs.fetchall(), key=str)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data here")
+def test_packing_and_mixing_figures(spark):
+    """What pN_found cannot show: how full the containers are, and how near every budget is met."""
+    folder = "/root/testdata/sf0.01"
+    fill = queries.p6_fill(spark, folder).toPandas()
+    assert (fill.containers <= 1.005 * -(-fill.tokens // fill.capacity_tokens)).all() and len(fill) == 3
+    shares = queries.p7_shares(spark, folder).toPandas()
+    sizes = queries._sizes(spark, folder, "source").toPandas()
+    total = int(sizes[sizes.source.isin(shares.source)].tokens.sum())
+    met = shares[shares.reachable]
+    assert (met.used_tokens == (met.target_share * float(total)).astype(int)).all() and len(met) == 7  # to the token
