@@ -57,14 +57,16 @@ def test_latest_keeps_and_reads_the_named_columns(spark, rows):
     assert digest.latest(e, ("href",)).columns == ["page_id", "ord", "href"]
 
 
-def test_spread_goes_by_bytes(spark, tmp_path):
-    spark.range(1000).repartition(40).write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    assert 0 < session.input_bytes(df) < 1_000_000
-    assert "Repartition" in session.spread(df)._jdf.queryExecution().optimizedPlan().toString()  # small, however many files
+def test_spread_goes_by_bytes_and_files(spark, tmp_path):
+    spark.range(1000).repartition(2).write.parquet(str(tmp_path / "few"))
+    spark.range(1000).repartition(40).write.parquet(str(tmp_path / "many"))
+    few, many = spark.read.parquet(str(tmp_path / "few")), spark.read.parquet(str(tmp_path / "many"))
+    assert 0 < session.input_bytes(few) < 1_000_000
+    assert "Repartition" in session.spread(few)._jdf.queryExecution().optimizedPlan().toString()
+    assert session.spread(many) is many  # enough files: no shuffle
     spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
     try:
-        assert session.spread(df) is df
+        assert session.spread(few) is few  # large for its few files: no shuffle either
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 

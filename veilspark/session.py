@@ -75,17 +75,17 @@ def input_bytes(df: DataFrame) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
-    A file gives as many tasks as it has row groups, so a small table is read
-    by fewer tasks than there are cores, and what follows (regex passes, Python
-    workers) is bound by the CPU. Only a table of less than one full split
-    (``spark.sql.files.maxPartitionBytes``) a core is dealt out; a larger one
-    comes back unchanged however many files it has, so what is shuffled here is
-    bounded by that size and no table at scale is.
+    A file gives as many tasks as it has row groups, so a small table of few
+    files is read by fewer tasks than there are cores, and what follows (regex
+    passes, Python workers) is bound by the CPU. Only a table of fewer files
+    than cores and of less than one full split (``spark.sql.files.maxPartitionBytes``)
+    a core is dealt out. A larger one comes back unchanged however few files it
+    has, so what is shuffled here is bounded by that size and no table at scale is.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df if input_bytes(df) >= cores * split else df.repartition(cores)
+    return df if input_bytes(df) >= cores * split or len(df._jdf.inputFiles()) >= cores else df.repartition(cores)
 
 
 _SHIPPED: set[str] = set()
